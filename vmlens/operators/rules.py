@@ -140,7 +140,13 @@ def restore_ranges(ranges: DataFrame, regions: DataFrame, order: str, page: int,
 
 
 #: Legal steps of a machine's states (fixed values).
-VM_TRANSITIONS = [("Created", "Running"), ("Created", "Shutdown"), ("Running", "Shutdown"), ("Running", "Paused"), ("Running", "BreakPoint"), ("Shutdown", "Running"), ("Paused", "Running"), ("Paused", "Shutdown"), ("Paused", "BreakPoint"), ("BreakPoint", "Created"), ("BreakPoint", "Running"), ("BreakPoint", "Paused")]
+VM_TRANSITIONS = [
+    ("Created", "Running"), ("Created", "Paused"), ("Created", "BreakPoint"), ("Created", "Shutdown"),
+    ("Running", "Paused"), ("Running", "Shutdown"), ("Running", "BreakPoint"),
+    ("Shutdown", "Running"),
+    ("Paused", "Running"), ("Paused", "Shutdown"),
+    ("BreakPoint", "Created"), ("BreakPoint", "Running"),
+]
 
 
 @rule
