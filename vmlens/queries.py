@@ -1,23 +1,28 @@
-"""Driver-facing queries of the telemetry and range operators, each with the equivalent DuckDB SQL."""
+"""Driver-facing queries of the telemetry and range operators, each with the equivalent DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import numbers, options, text
+from .operators import aggregates, graph, lookups, ranges, rules, sequences, state
+from .plans import migration
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+DAY = 86_400
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its DuckDB text."""
+def query(sql: str | None = None):
+    """Register a query under its function's name and, where SQL can express it, its DuckDB text."""
 
     def add(f):
-        _QUERIES[name] = f
+        _QUERIES[f.__name__] = f
         if sql:
-            _SQL[name] = sql
+            _SQL[f.__name__] = sql
         return f
 
     return add
@@ -27,13 +32,351 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "counters_by_event",
-    "SELECT event_type, count(*) AS n, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type",
-)
+def _events(spark, sf_dir, *columns):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", *columns)
+
+
+def _cents():
+    return F.round(F.col("value") * 100).cast("bigint").alias("cents")
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type")
 def counters_by_event(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.round(F.avg("value"), 6).alias("avg_value"))
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), aggregates.smallest("value").alias("min_value"), aggregates.largest("value").alias("max_value"), F.round(F.avg("value"), 6).alias("avg_value"))
+
+
+@query("""SELECT user_id, CASE WHEN count(v) > 0 THEN round(avg(v) * 1000, 4) ELSE 0 END AS mean, CASE WHEN count(v) > 0 THEN round(stddev_pop(v) * 1000, 4) ELSE 0 END AS std_dev,
+CASE WHEN count(v) > 0 THEN round(max(v) * 1000, 4) ELSE 0 END AS max, CASE WHEN count(v) > 0 THEN round(min(v) * 1000, 4) ELSE 0 END AS min, CASE WHEN count(v) > 0 THEN 'PASSED' ELSE 'FAILED' END AS status
+FROM (SELECT user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 2 THEN value END AS v FROM events) GROUP BY user_id""")
+def bench_summary(spark, sf_dir):
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    runs = _events(spark, sf_dir, "value").withColumn("iteration", order).withColumn("adjuster", F.lit("s_to_ms"))
+    out = aggregates.benchmark_summary(runs, ["user_id"], "iteration", "value", warmup=2, adjuster="adjuster")
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std_dev", "max", "min")})
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, CAST(round(value * 100) AS BIGINT) AS v FROM events),
+a AS (SELECT event_type, r, v * 10000 AS s FROM o WHERE r = 1
+  UNION ALL SELECT o.event_type, o.r, a.s + CAST(trunc((CAST(o.v AS HUGEINT) * 10000 - a.s) // o.r) AS BIGINT) FROM a JOIN o ON o.event_type = a.event_type AND o.r = a.r + 1)
+SELECT event_type, CAST(s // 10000 AS BIGINT) AS average FROM a WHERE (event_type, r) IN (SELECT event_type, max(r) FROM o GROUP BY event_type)""")
+def cumulative_avg_int(spark, sf_dir):
+    return aggregates.cumulative_average(_events(spark, sf_dir, "event_type", _cents()), ["event_type"], "event_id", "cents")
+
+
+@query("""SELECT 'd' || user_id % 7 AS device_id, c.counter, c.value FROM (
+SELECT user_id % 7 AS user_id, unnest([{'counter': 'read_bytes', 'value': sum(CASE WHEN d = 'read' THEN b ELSE 0 END)}, {'counter': 'read_ops', 'value': count(*) FILTER (d = 'read')},
+{'counter': 'read_latency_min', 'value': min(l) FILTER (d = 'read')}, {'counter': 'read_latency_max', 'value': max(l) FILTER (d = 'read')}, {'counter': 'read_latency_avg', 'value': CAST(trunc(avg(l) FILTER (d = 'read')) AS BIGINT)},
+{'counter': 'write_bytes', 'value': sum(CASE WHEN d = 'write' THEN b ELSE 0 END)}, {'counter': 'write_ops', 'value': count(*) FILTER (d = 'write')},
+{'counter': 'write_latency_min', 'value': min(l) FILTER (d = 'write')}, {'counter': 'write_latency_max', 'value': max(l) FILTER (d = 'write')}, {'counter': 'write_latency_avg', 'value': CAST(trunc(avg(l) FILTER (d = 'write')) AS BIGINT)}]) AS c
+FROM (SELECT user_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'error' THEN 'failed' END AS d, CAST(round(value * 100) AS BIGINT) AS b, CAST(event_id % 1000 AS BIGINT) AS l FROM events)
+GROUP BY user_id % 7) WHERE c.value IS NOT NULL""")
+def device_counters(spark, sf_dir):
+    d = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "write")
+    rows = _events(spark, sf_dir, "event_type", _cents()).select(F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("device_id"), d.alias("direction"), F.col("cents").alias("bytes"), (F.col("event_id") % 1000).alias("latency_us"), F.when(F.col("event_type") == "error", -1).otherwise(0).alias("result"))
+    return aggregates.request_counters(rows, ["device_id"])
+
+
+@query("SELECT o.o_orderpriority AS priority, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice), 6) AS kept_ratio, count(*) AS n FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def net_loss_ratio(spark, sf_dir):
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kept = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.sum("l_extendedprice")
+    return joined.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.round(kept, 6).alias("kept_ratio"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY 1")
+def json_props(spark, sf_dir):
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE (contains(p_name, 'an') OR contains(p_name, 'e')) AND NOT contains(p_name, 'b')")
+def include_exclude_filter(spark, sf_dir):
+    return lookups.include_exclude(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["an", "e"], ["b"])
+
+
+@query("""SELECT user_id, min(d) AS first, count(*) AS n FROM (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g
+FROM (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d FROM events)) GROUP BY user_id, g""")
+def day_islands(spark, sf_dir):
+    return ranges.islands(_events(spark, sf_dir, F.floor(F.unix_timestamp("ts") / DAY).cast("bigint").alias("day")), ["user_id"], "day")
+
+
+@query("""SELECT user_id, min(d) AS start, count(*) AS length FROM (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g
+FROM (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d FROM events)) GROUP BY user_id, g""")
+def adjacent_days(spark, sf_dir):
+    days = _events(spark, sf_dir, F.floor(F.unix_timestamp("ts") / DAY).cast("bigint").alias("start")).select("user_id", "start", F.lit(1).cast("bigint").alias("length")).distinct()
+    return ranges.merge_adjacent(days, ["user_id"], "start", "length")
+
+
+@query("""SELECT user_id, run, event_type, count(*) AS n FROM (SELECT user_id, event_type, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run
+FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS c FROM events)) GROUP BY 1, 2, 3""")
+def run_length_types(spark, sf_dir):
+    return ranges.runs(_events(spark, sf_dir, "event_type"), ["user_id"], ["event_id"], ["event_type"])
+
+
+@query("SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cents, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_cents FROM events")
+def running_offset(spark, sf_dir):
+    return ranges.running_offset(_events(spark, sf_dir, _cents()), ["user_id"], ["event_id"], "cents", "offset_cents").select("user_id", "event_id", "cents", "offset_cents")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey AS gpa, 1 + o_orderkey % 9 AS len FROM orders),
+a AS (SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY o_custkey ORDER BY gpa DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM o),
+c AS (SELECT *, unnest(generate_series(a // 10, (a + len - 1) // 10)) AS chunk FROM a)
+SELECT o_custkey, chunk, gpa + len - (least(a + len, (chunk + 1) * 10) - a) AS gpa, least(a + len, (chunk + 1) * 10) - greatest(a, chunk * 10) AS length FROM c""")
+def chunk_partition(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("gpa"), (1 + F.col("o_orderkey") % 9).alias("length"))
+    return ranges.chunks(rows, ["o_custkey"], ["gpa"], "gpa", "length", 10)
+
+
+@query("SELECT user_id, event_id, value, previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events) WHERE previous > value")
+def monotonic_violations(spark, sf_dir):
+    return sequences.unsorted(_events(spark, sf_dir, "value"), ["user_id"], "event_id", "value").select("user_id", "event_id", "value", "previous")
+
+
+@query("""WITH a AS (SELECT user_id, min(event_id) AS i FROM events WHERE event_type = 'signup' GROUP BY 1),
+b AS (SELECT e.user_id, min(event_id) AS i FROM events e JOIN a ON e.user_id = a.user_id AND event_id > a.i WHERE event_type = 'view' GROUP BY 1),
+c AS (SELECT e.user_id, min(event_id) AS i FROM events e JOIN b ON e.user_id = b.user_id AND event_id > b.i WHERE event_type = 'purchase' GROUP BY 1)
+SELECT u.user_id, c.i IS NOT NULL AS matched, CAST((a.i IS NOT NULL) AS INT) + CAST((b.i IS NOT NULL) AS INT) + CAST((c.i IS NOT NULL) AS INT) AS n_matched
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
+def subsequence_match(spark, sf_dir):
+    return sequences.subsequence_match(_events(spark, sf_dir, "event_type"), ["user_id"], "event_id", "event_type", [("signup", None), ("view", None), ("purchase", None)])
+
+
+@query("""SELECT user_id, coalesce(list(event_type ORDER BY event_id) = ['view', 'click'], false) AS matched FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 2 GROUP BY 1""")
+def latest_n_exact(spark, sf_dir):
+    return lookups.latest_matches(_events(spark, sf_dir, "event_type"), ["user_id"], "event_id", "event_type", ["view", "click"])
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey % 50 AS k, CAST(epoch(o_orderdate) AS BIGINT) AS base FROM orders),
+e AS (SELECT event_id, user_id % 50 AS k, CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 86400 * 365 * (26 + event_id % 6) AS asked_at FROM events)
+SELECT e.event_id, e.k, e.asked_at AS "at", o.base FROM e ASOF LEFT JOIN o ON e.k = o.k AND e.asked_at >= o.base""")
+def asof_lookup(spark, sf_dir):
+    bases = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.unix_timestamp("o_orderdate").alias("base")).distinct()
+    asked = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("k"), (F.unix_timestamp("ts") - DAY * 365 * (26 + F.col("event_id") % 6)).alias("at"))
+    return ranges.asof(asked, bases, ["k"], "at", "base", [], 90 * DAY).select("event_id", "k", "at", "base")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey % 50 AS k, CAST(epoch(o_orderdate) AS BIGINT) AS base FROM orders),
+e AS (SELECT event_id, user_id % 50 AS k, CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 86400 * 365 * (26 + event_id % 6) AS asked_at FROM events),
+f AS (SELECT e.event_id, e.asked_at, o.base FROM e ASOF LEFT JOIN o ON e.k = o.k AND e.asked_at >= o.base)
+SELECT event_id, CASE WHEN asked_at - base < 864000 THEN base END AS base, CASE WHEN asked_at - base < 864000 THEN asked_at - base END AS "offset" FROM f""")
+def containment_lookup(spark, sf_dir):
+    bases = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), F.unix_timestamp("o_orderdate").alias("base")).distinct().withColumn("len", F.lit(10 * DAY).cast("bigint"))
+    asked = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("k"), (F.unix_timestamp("ts") - DAY * 365 * (26 + F.col("event_id") % 6)).alias("at"))
+    return ranges.resolve(asked, bases, ["k"], "at", "base", "len", width=90 * DAY).select("event_id", "base", "offset")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS d FROM orders)
+SELECT a.o_custkey, a.o_orderkey AS l_key, b.o_orderkey AS r_key FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.d < b.d + 30 AND b.d < a.d + 30""")
+def interval_overlap(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("key"), F.floor(F.unix_timestamp("o_orderdate") / DAY).cast("bigint").alias("day"), F.lit(30).cast("bigint").alias("days"))
+    return ranges.overlaps(o, o, ["o_custkey"], "day", "days", 30).where("l_key < r_key").select("o_custkey", "l_key", "r_key")
+
+
+@query("""WITH m AS (SELECT o_custkey % 10 AS d, o_orderkey * 16 AS iova, o_orderkey * 16 + CASE WHEN o_orderkey % 5 < 3 THEN 1000000 ELSE 5000000 END AS gpa, 16 AS size FROM orders),
+x AS (SELECT *, CASE WHEN lag(iova + size) OVER w = iova AND lag(gpa - iova) OVER w = gpa - iova THEN 0 ELSE 1 END AS c FROM m WINDOW w AS (PARTITION BY d ORDER BY iova)),
+y AS (SELECT *, sum(c) OVER (PARTITION BY d ORDER BY iova) AS g FROM x), z AS (SELECT d, min(iova) AS iova, min(gpa) AS gpa, sum(size) AS len FROM y GROUP BY d, g),
+q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_orderkey % 10 AS d, l_orderkey * 16 + l_linenumber AS addr, l_linenumber * 4 AS size FROM lineitem)
+SELECT q.d, q.addr, q.size, CAST(CASE WHEN q.addr - z.iova + q.size <= z.len THEN z.gpa + q.addr - z.iova END AS BIGINT) AS translated FROM q ASOF LEFT JOIN z ON q.d = z.d AND q.addr >= z.iova""")
+def translate_islands(spark, sf_dir):
+    iova = F.col("o_orderkey") * 16
+    m = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("d"), iova.alias("iova"), (iova + F.when(F.col("o_orderkey") % 5 < 3, 1_000_000).otherwise(5_000_000)).alias("gpa"), F.lit(16).cast("bigint").alias("size"))
+    q = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 10).alias("d"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("addr"), (F.col("l_linenumber") * 4).cast("bigint").alias("size"))
+    return ranges.translate(q, m, ["d"], width=1 << 16).select("d", "addr", "size", "translated")
+
+
+@query("""WITH n AS (SELECT n_regionkey, n_nationkey AS node FROM nation), g AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM customer c JOIN supplier s ON c_custkey = s_suppkey),
+d AS (SELECT n_regionkey, src, dst, 11 + (src * 7 + dst) % 8 AS distance FROM g JOIN nation ON n_nationkey = src)
+SELECT a.n_regionkey, a.node AS a, b.node AS b, CASE WHEN a.node = b.node THEN 10 ELSE coalesce(f.distance, r.distance, 20) END AS distance
+FROM n a JOIN n b USING (n_regionkey) LEFT JOIN d f ON f.n_regionkey = a.n_regionkey AND f.src = a.node AND f.dst = b.node LEFT JOIN d r ON r.n_regionkey = a.n_regionkey AND r.src = b.node AND r.dst = a.node""")
+def matrix_fill(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    pairs = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    d = pairs.join(nation.select("n_regionkey", F.col("n_nationkey").alias("src")), "src").withColumn("distance", 11 + (F.col("src") * 7 + F.col("dst")) % 8)
+    return lookups.distance_matrix(nation.select("n_regionkey", F.col("n_nationkey").alias("node")), d, ["n_regionkey"])
+
+
+_LAYERS = "SELECT l_linenumber - 1 AS layer, l_partkey AS cluster, CASE l_suppkey % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'zero' ELSE 'standard' END AS kind, l_orderkey AS address FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LAYERS}), s AS (SELECT cluster, min({{'layer': layer, 'kind': kind, 'address': address}}) AS s FROM l WHERE kind <> 'empty' AND layer <= 3 GROUP BY cluster)
+SELECT p_partkey AS cluster, s.layer AS layer, coalesce(s.kind, 'hole') AS kind, s.address AS address FROM part LEFT JOIN s ON cluster = p_partkey""")
+def overlay_resolve(spark, sf_dir):
+    kind = F.when(F.col("l_suppkey") % 3 == 0, "empty").when(F.col("l_suppkey") % 3 == 1, "zero").otherwise("standard")
+    layers = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).alias("layer"), F.col("l_partkey").alias("cluster"), kind.alias("kind"), F.col("l_orderkey").alias("address"))
+    return lookups.resolve_layers(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cluster")), layers, 3)
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n, CASE WHEN count(o_orderkey) > 20 THEN 'overflow' END AS problem FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def refcount(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return aggregates.reference_counts([refs], table(spark, sf_dir, "customer"), "c_custkey", 20)
+
+
+@query("SELECT p_brand, count(DISTINCT p_type) AS n_versions, list_sort(list(DISTINCT p_type)) AS versions FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
+def version_conflicts(spark, sf_dir):
+    return aggregates.version_conflicts(table(spark, sf_dir, "part"), "p_brand", "p_type").select("p_brand", "n_versions", "versions")
+
+
+@query("SELECT 'labelled' AS rule, CAST(doc_id AS VARCHAR) AS id, CAST(doc_id AS VARCHAR) AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def fk_violations(spark, sf_dir):
+    return rules.foreign_key(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "labels"), "doc_id", name="labelled")
+
+
+@query("SELECT 'line' AS rule, id, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT l_orderkey || '/' || l_linenumber AS id FROM lineitem) GROUP BY id HAVING count(*) > 1")
+def unique_violations(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"))
+    return rules.unique(lines, "key", "line")
+
+
+@query("SELECT 'exclusive' AS rule, CAST(p AS VARCHAR) AS id, CAST(count(DISTINCT o) AS VARCHAR) AS detail FROM (SELECT l_partkey AS p, l_suppkey AS o FROM lineitem) GROUP BY p HAVING count(DISTINCT o) > 1")
+def exclusive_membership(spark, sf_dir):
+    owned = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return rules.exclusive_membership(owned, "l_suppkey", "parts", "exclusive")
+
+
+@query("""WITH b AS (SELECT user_id, bit_or(CASE WHEN day(ts) <= 15 THEN m ELSE 0 END) AS s, bit_or(CASE WHEN day(ts) = 16 THEN m ELSE 0 END) AS t
+FROM (SELECT *, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 4 WHEN 'click' THEN 8 ELSE 16 END AS BIGINT) AS m FROM events) GROUP BY 1)
+SELECT 'feature_compatibility' AS rule, user_id || '/types' AS id, 'subset ' || s || ' ' || t AS detail FROM b WHERE (s & ~t) <> 0""")
+def feature_compat(spark, sf_dir):
+    bit = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "purchase", 4).when(F.col("event_type") == "click", 8).otherwise(16).cast("bigint")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("leaf"), F.lit("types").alias("register"), bit.alias("value"), F.dayofmonth("ts").alias("day"))
+    half = lambda c: lookups.all_flags(e.where(c), ["leaf", "register"], "value")
+    checks = e.select("leaf", "register").distinct().withColumn("kind", F.lit("subset"))
+    found = rules.feature_compatibility(half("day <= 15"), half("day = 16"), checks)
+    return found.withColumn("detail", F.regexp_replace("detail", "^kind", "subset"))
+
+
+@query("""SELECT 'turns' AS rule, conv_id || '/' || turn AS id, previous || '->' || role AS detail FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations)
+WHERE previous IS NOT NULL AND NOT ((previous = 'user' AND role = 'assistant') OR (previous = 'system' AND role = 'user'))""")
+def state_transitions(spark, sf_dir):
+    legal = [("user", "assistant"), ("system", "user")]
+    return rules.transitions(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", legal, "turns")
+
+
+@query("""WITH h AS (SELECT user_id % 5 AS k, event_type, (day(ts) - 1) * 24 + hour(ts) AS h FROM events),
+w AS (SELECT k, event_type, CAST(h // 62 AS BIGINT) AS word, CAST(bit_or(CAST(1 AS BIGINT) << CAST(h % 62 AS BIGINT)) AS BIGINT) AS bits FROM h GROUP BY 1, 2, 3)
+SELECT a.k, a.word, CAST(a.bits | b.bits AS BIGINT) AS bits FROM w a JOIN w b ON a.k = b.k AND a.word = b.word WHERE a.event_type = 'view' AND b.event_type = 'click'""")
+def dirty_bitmap_union(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("k"), "event_type", ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).cast("bigint").alias("h"))
+    # 62 hours a word keep the oracle's shifts within signed integers; flags_to_words() has 64
+    w = e.groupBy("k", "event_type", F.floor(F.col("h") / 62).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 62 AS INT))")).alias("bits"))
+    return ranges.bitmap_union(w.where("event_type = 'view'"), w.where("event_type = 'click'"), ["k"])
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d FROM events), r AS (SELECT min(d) AS lo, max(d) AS hi FROM d),
+a AS (SELECT user_id, unnest(generate_series(lo, hi)) AS d FROM (SELECT DISTINCT user_id FROM d), r), m AS (SELECT * FROM a EXCEPT SELECT * FROM d)
+SELECT user_id, min(d) AS start, count(*) AS length FROM (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM m) GROUP BY user_id, g""")
+def range_complement(spark, sf_dir):
+    days = _events(spark, sf_dir, F.floor(F.unix_timestamp("ts") / DAY).cast("bigint").alias("start"))
+    holes = days.select("user_id", "start", F.lit(1).cast("bigint").alias("length")).distinct()
+    ends = days.agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + 1).alias("length"))
+    regions = days.select("user_id").distinct().join(F.broadcast(ends))  # ends is one row
+    return ranges.complement(regions, holes, ["user_id"], "start", "length")
+
+
+@query("""SELECT 'r' || r_regionkey AS id, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def bfs_hierarchy(spark, sf_dir):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    nodes = table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"))
+    nodes = nodes.union(nation.select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(customer.select(name("c", "c_custkey"), name("n", "c_nationkey")))
+    edges = nodes.where("parent IS NOT NULL").select("parent", F.xxhash64("id").alias("ord"), F.col("id").alias("child"))
+    return graph.breadth_first(nodes, edges, 3).select("id", "depth")
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    r = _events(spark, sf_dir, (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.abs(F.round("value")).cast("bigint").alias("tokens"))
+    return state.token_bucket(r, ["user_id"], ["event_id"], "ts_ns", "tokens", 200, 100, 3_600_000)
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    r = _events(spark, sf_dir, (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.abs(F.round("value")).cast("bigint").alias("tokens"), F.when(F.col("event_type") == "error", "ops").otherwise("bytes").alias("kind"))
+    return state.limit(r, ["user_id"], ["event_id"], "ts_ns", "kind", "tokens", {"bytes": (200, 100, 3_600_000), "ops": (50, 0, 60_000)})
+
+
+@query()
+def address_allocation(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lit("allocate").alias("op"), F.lit(None).cast("bigint").alias("at"), (16 + F.col("o_orderkey") % 100).alias("length"), F.lit(16).cast("bigint").alias("align"))
+    return state.allocate_addresses(r, ["o_custkey"], ["o_orderkey"], 0x1000, 0x1000)
+
+
+@query("""WITH d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS i, event_type AS m, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS b, count(*) / 10.0 AS t FROM events GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN t > 0 THEN b / CAST(t AS DOUBLE) ELSE 0 END AS bw FROM d), e AS (SELECT *, lag(bw) OVER (PARTITION BY m ORDER BY i) AS p, sum(b) OVER (PARTITION BY m ORDER BY i) AS tot FROM w)
+SELECT m, i, b, round(bw, 6) AS bandwidth, round(CASE WHEN b = 0 THEN 0 WHEN p > 0 THEN b / p END, 6) AS est_downtime_s, CAST(tot AS BIGINT) AS total_bytes FROM e""")
+def migration_metrics(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.floor(F.unix_timestamp("ts") / DAY).cast("bigint").alias("i"), F.col("event_type").alias("m")).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("b"), (F.count(F.lit(1)) / 10.0).cast("double").alias("t"))
+    return migration.iteration_metrics(e, ["m"], "i", "b", "t").select("m", "i", "b", F.round("bandwidth", 6).alias("bandwidth"), F.round("est_downtime_s", 6).alias("est_downtime_s"), "total_bytes")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY 1")
+def latest_value(spark, sf_dir):
+    return lookups.latest(_events(spark, sf_dir, "event_type", "value"), ["user_id"], "event_id", F.col("event_type") != "error")
+
+
+@query("SELECT o_orderkey, printf('%04x:%02x:%02x.%x', (o_orderkey >> 16) & 65535, (o_orderkey >> 8) & 255, (o_orderkey >> 3) & 31, o_orderkey & 7) AS bdf, o_orderkey AS parsed FROM orders")
+def bdf_format(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", numbers.format_bdf(F.col("o_orderkey")).alias("bdf"))
+    return o.withColumn("parsed", numbers.parse_bdf(F.col("bdf")))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 1000 * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes FROM orders""")
+def byte_size(spark, sf_dir):
+    unit = F.element_at(F.array(F.lit(""), F.lit("K"), F.lit("M"), F.lit("G")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", options.byte_size(F.concat((F.col("o_orderkey") % 1000).cast("string"), unit)).alias("bytes"))
+
+
+@query("SELECT o_orderkey, list_concat([o_orderkey % 7], generate_series(o_orderkey % 7 + 2, o_orderkey % 7 + 5)) AS numbers FROM orders")
+def int_list(spark, sf_dir):
+    a = F.col("o_orderkey") % 7
+    return table(spark, sf_dir, "orders").select("o_orderkey", options.integer_list(F.format_string("[%d,%d-%d]", a, a + 2, a + 5)).alias("numbers"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 9 AS boot, 'a,b' AS features, CAST(o_orderkey % 2 = 0 AS BOOLEAN) AS has_max FROM orders")
+def option_strings(spark, sf_dir):
+    given = F.concat(F.lit("boot="), (F.col("o_orderkey") % 9).cast("string"), F.lit(',features="a,b"'), F.when(F.col("o_orderkey") % 2 == 0, ",max=").otherwise(""))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", options.parse_section("cpus", given).alias("o"))
+    return o.select("o_orderkey", options.option(F.col("o"), "boot").cast("bigint").alias("boot"), options.option(F.col("o"), "features").alias("features"), options.is_set(F.col("o"), "max").alias("has_max"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN round(abs(value) / 1000, 6) WHEN 1 THEN round(abs(value), 6) WHEN 2 THEN round(abs(value) * 1000, 6) ELSE round(abs(value) * 1000000, 6) END AS us FROM events")
+def duration_units(spark, sf_dir):
+    unit = F.element_at(F.array(F.lit("ns"), F.lit("us"), F.lit("ms"), F.lit("s")), (F.col("event_id") % 4 + 1).cast("int"))
+    shown = F.concat(F.abs("value").cast("decimal(20,6)").cast("string"), unit)
+    return table(spark, sf_dir, "events").select("event_id", F.round(numbers.duration_us(shown), 6).alias("us"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS a, CAST(epoch(o_orderdate) // 86400 AS BIGINT) // 256 * 256 + 256 AS b FROM orders)
+SELECT x.k, x.id, count(y.id) AS depth FROM s x LEFT JOIN s y ON x.k = y.k AND x.id <> y.id AND y.b >= x.b AND y.b > x.a AND (y.a < x.a OR (y.a = x.a AND (y.b > x.b OR y.id < x.id))) GROUP BY 1, 2""")
+def trace_depth(spark, sf_dir):
+    day = F.floor(F.unix_timestamp("o_orderdate") / DAY).cast("bigint")
+    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), day.alias("a"), (day - F.pmod(day, F.lit(256)) + 256).alias("b"))
+    return sequences.span_depths(spans, ["k"], "a", "b", "id").select("k", "id", "depth")
+
+
+@query("SELECT p_partkey, 'brand = ' || p_brand || ', type = ' || p_type AS properties FROM part")
+def properties_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.format_properties(F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))).alias("properties"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey % 400 * 8 AS s, 4 + o_orderkey % 13 AS l FROM orders), w AS (SELECT *, max(s + l) OVER (PARTITION BY k ORDER BY s, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM o)
+SELECT 'disjoint' AS rule, k || '/' || s AS id, concat_ws(',', CASE WHEN r > s THEN 'overlap' END, CASE WHEN s % 4 <> 0 OR l % 4 <> 0 THEN 'unaligned' END) AS detail FROM w WHERE r > s OR s % 4 <> 0 OR l % 4 <> 0""")
+def disjoint_violations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 400 * 8).alias("s"), (4 + F.col("o_orderkey") % 13).alias("l"))
+    return rules.disjoint(o, ["k"], "s", "l", 4)
+
+
+@query("SELECT o_orderkey, (o_orderkey % 2) | ((o_orderkey // 2 % 3) << 1) | ((o_orderkey // 6) << 3) AS apic FROM orders")
+def x2apic_ids(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.x2apic_id(F.col("o_orderkey"), 2, 3, 1).alias("apic"))
+
+
+@query("SELECT n_regionkey, sum(n_nationkey) AS effective_size FROM (SELECT n_regionkey, n_nationkey FROM nation UNION ALL SELECT n_regionkey, n_nationkey FROM nation) GROUP BY 1")
+def range_bag(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("bigint").alias("length"))
+    return aggregates.effective_size(migration.final_delta(n, n), ["n_regionkey"], "length")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
