@@ -1,0 +1,263 @@
+"""Training-data operators: brute force, round trips, held-out accuracy, and odd tables."""
+
+import itertools
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import same_as_duckdb
+from vmlens.llm import bpe_tree, embedding_dedup, mixing, pii, quality_model, quality_rules, queries, simhash, token_count, toxicity, url_filter
+from vmlens.llm.common import components, merge_labels, skew_join
+
+SF = "/root/testdata/sf0.001"
+RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+PIECES = ["a", "b", "e", "th", "the", " ", "  ", "\n", "\n\n", "'s", "'", "!", "?", "é", "ß", "日本", "　", "\x1c", "\xa0", "1", "23", "😀", "\t", "\r\n", "..", "x" * 30, "<|endoftext|>"]
+
+
+def random_texts(n, seed=5):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PIECES) * rng.choice([1, 1, 1, 2, 7]) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+@pytest.fixture
+def odd(make):
+    """Nulls everywhere, empty, blank and very long texts, repeated rows, and columns with names that operators use."""
+    rows = [
+        (1, "the word of the day is trash and more words follow here", "en", "a", "x", 1.0, 7),
+        (1, "the word of the day is trash and more words follow here", "en", "a", "x", 1.0, 7),
+        (2, None, None, None, None, None, None),
+        (None, "an orphan text with no id at all, mail bob.x@mail.example.com", None, "b", "x", 2.0, 8),
+        (None, None, "en", None, "x", 2.0, 8),
+        (3, "", "en", "a", "x", 1.0, 7),
+        (4, " \n\t ", "de", "b", "x", 1.0, 7),
+        (5, "long " * 30000 + "end", "de", "b", "x", 1.0, 7),
+        (5, "another text under the same id", "de", "b", "x", 1.0, 7),
+        (6, "x" * 50000, "fr", "c", "x", 1.0, 7),
+    ]
+    return make(rows, "doc_id long, text string, lang string, source string, key string, score double, fp long")
+
+
+@pytest.fixture
+def labels(make):
+    return make([(1, 1, 1), (2, 0, 0), (3, 0, 0), (None, 1, 1), (4, None, None), (5, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "toxicity": lambda d, l: toxicity.score_documents(d, l),
+    "bpe": lambda d, l: bpe_tree.encode_documents(d, RANKS, public_tokenizers.PATTERN),
+    "mixing": lambda d, l: mixing.mix(d),
+    "counts": lambda d, l: token_count.count_tokens(d, JSON),
+    "simhash": lambda d, l: simhash.near_duplicates(d),
+    "rules": lambda d, l: quality_rules.ledger(d),
+    "pii": lambda d, l: pii.pseudonymise(d),
+    "quality": lambda d, l: quality_model.score_documents(d, l),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_tables(odd, labels, name):
+    got = OPERATORS[name](odd, labels)
+    assert got.count() == odd.count()
+    assert len(got.columns) == len(set(got.columns))
+    assert got.where("doc_id IS NULL").count() == 2
+    assert OPERATORS[name](odd.limit(0), labels.limit(0)).count() == 0
+    assert OPERATORS[name](odd, labels.limit(0)).count() == odd.count()
+
+
+def test_odd_results(odd):
+    size = {(r.doc_id, r.size) for r in mixing.mix(odd).collect()}
+    assert {(2, 0), (3, 0), (4, 0), (5, 30001), (6, 1)} <= size
+    near = simhash.near_duplicates(odd).collect()
+    blank = [r for r in near if r.fingerprint == "0" * 16]
+    assert {r.doc_id for r in blank} == {2, 3, 4, None} and {r.component_id for r in blank} == {2}
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 5, 5, 6]
+    taken = mixing.take(odd)
+    assert taken.columns == odd.columns and taken.count() == mixing.mix(odd).agg(F.sum("epochs")).first()[0]
+    swapped = {r.n_entities for r in pii.pseudonymise(odd).where("text LIKE 'an orphan%'").collect()}
+    assert swapped == {1}
+
+
+def test_tree_encodes_and_decodes_as_the_library():
+    whole = bpe_tree.TreeCodec.load(RANKS, public_tokenizers.PATTERN)
+    small = bpe_tree.TreeCodec.load(RANKS, public_tokenizers.PATTERN, leaf_chars=16, leaf_bytes=8, direct_chars=20)
+    for x in random_texts(1500):
+        want = whole.library.encode_ordinary(x)
+        assert small.encode(x).tolist() == want
+        assert small.decode(np.array(want)) == x.encode()
+    rng = random.Random(1)
+    for _ in range(300):
+        x = "".join(rng.choice("abcdefghithe") for _ in range(rng.randint(1, 400)))
+        assert small.piece(x.encode()) == whole.library.encode_ordinary(x)
+    assert len(whole.encode("abcde" * 20000)) == len(whole.library.encode_ordinary("abcde" * 2000)) * 10
+
+
+def test_spliced_counts_are_the_library_s():
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(JSON)
+    counter = token_count.Counter(JSON, chunk=40, overlap=4)
+    for x in random_texts(1500, 6):
+        assert counter.count(x) == len(library.encode(x, add_special_tokens=False).ids)
+
+
+def test_other_vocabularies_count():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = token_count.Counter(path)
+    assert [counter.count(x) for x in ("", None, "the word  of")] == [0, 0, len(model.encode("the word  of"))]
+
+
+def brute_components(items, linked):
+    u, v = zip(*[(i, j) for i, j in itertools.product(range(len(items)), repeat=2) if i == j or linked(items[i], items[j])])
+    return merge_labels(np.array(u), np.array(v), len(items))
+
+
+@pytest.mark.parametrize(("blocks", "tile"), [(None, 1024), (6, 7), (5, 16)])
+def test_bit_sliced_links_are_brute_force_s(spark, blocks, tile):
+    rng = random.Random(3)
+    prints = set()
+    for _ in range(15):
+        x = rng.getrandbits(64)
+        for _ in range(30):
+            for _ in range(rng.randint(0, 6)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x - (1 << 64) if x >> 63 else x)
+    prints = sorted(prints)
+    want = brute_components(prints, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    roots = {r.node: r.root for r in components(simhash.link_forest(spark.createDataFrame([(x,) for x in prints], "fp long"), "fp", 4, blocks, tile)).collect()}
+    got = [prints.index(roots.get(x, x)) for x in prints]
+    assert got == list(want)
+
+
+def test_fingerprint():
+    import xxhash
+
+    h = [xxhash.xxh64_intdigest(x, 42) for x in ("a b c d", "b c d e", "c d e f")]
+    want = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > 3)
+    assert simhash.text_fingerprint(" A b  c\td\ne f ") & (1 << 64) - 1 == want
+    assert simhash.text_fingerprint("Ab c") & (1 << 64) - 1 == xxhash.xxh64_intdigest("ab c", 42)
+    assert simhash.text_fingerprint(" \n") == simhash.text_fingerprint(None) == 0
+
+
+def test_components_of_a_path(make):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 999), (999, 998), (5000, 5000)]
+    got = {r.node: r.root for r in components(make(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys((998, 999, 1000), 998)}
+
+
+def test_embeddings_against_brute_force(make):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, (centres[i % 40] + rng.normal(size=24) * (0.2 + 0.3 * (i % 3))).tolist(), 1) for i in range(300)]
+    rows += [(300, rows[0][1], 1), (300, rows[0][1], 1), (301, None, 2), (302, [0.0] * 24, 2), (303, [float("nan")] * 24, 2), (304, [], 2), (305, [1.0, 2.0], 2), (306, [2.0, 4.0], 3), (307, [None, 1.0], 2), (None, rows[5][1], 1)]
+    df = make(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(df, block=32).collect())
+
+    def fine(v):
+        return v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and any(v)
+
+    def linked(a, b):
+        a, b = a[1], b[1]
+        return fine(a) and fine(b) and len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+
+    label = brute_components(rows, linked)
+    want = []
+    for k, r in enumerate(rows):
+        ids = [x[0] for x, l in zip(rows, label) if l == label[k] and x[0] is not None]
+        links = sum(linked(r, x) for j, x in enumerate(rows) if j != k)
+        want.append((r[0] if r[0] is not None else -1, links, min(ids, default=None), r[0] == min(ids, default=None)))
+    assert got == sorted(want)
+    assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
+
+
+def test_sql_expressible_queries(spark):
+    for name, sql in queries.oracle_sql().items():
+        same_as_duckdb(queries.queries()[name](spark, SF), sql, SF)
+
+
+def test_ablations(make):
+    docs = make([(1, "one two three"), (2, "a # b # c # d # e # f # g"), (3, "a b c d e f g h i j k")], "doc_id long, text string")
+    book = quality_rules.ledger(docs)
+    got = {r.rule: (r.n_failed, r.n_only) for r in quality_rules.ablations(book, "v1").collect()}
+    assert got["few_words"] == (1, 1) and got["short_words"][0] == 2
+
+
+def test_toxicity_on_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(got) and got[got.toxic == 1].score.mean() > got[got.toxic == 0].score.mean() + 0.3
+    assert got[got.toxic == 0].predicted.mean() < 0.05
+
+
+def test_quality_on_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality_model.score_documents(docs, labels).join(labels, "doc_id").toPandas()
+    assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.9
+
+
+def test_surrogates_are_distinct_and_consistent(make):
+    text = "Mr John Smith and Mrs Anna Smith, call +1 (555) 123-4567 or 1 555 123 4567?, mail A.B@x.example.com a.b@x.example.com, pay 4111 1111 1111 1111, ip 10.1.2.3, password=hunter2secret"
+    got = pii.pseudonymise(make([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert got[0].text == got[1].text != text
+    for secret in ("John", "Anna", "Smith", "123-4567", "a.b@x", "1111 1111", "10.1.2.3", "hunter2"):
+        assert secret not in got[0].text
+    kinds = {k: v for _, _, k, v in pii.entities(got[0].text)}
+    assert kinds["ip"].startswith("10.") and pii.luhn(kinds["card"]) and kinds["given_f"].endswith("a")
+    assert pii.surrogate("surname", "иванов") != "иванов" and pii.surrogate("surname", "иванов")[0] > "Ѐ"
+
+
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_collisions_go_on(make, monkeypatch, broadcast):
+    """With few possible surrogates some collide; both ways back to the texts keep them distinct."""
+    docs = make([(i, f"id 10.0.0.{i} and 10.0.0.{i + 1}") for i in range(1, 60)], "doc_id long, text string")
+    narrow = lambda k, v, t, key=b"": f"11.0.0.{1 + (hash((v, t)) * 0 + sum(map(ord, v)) * 7 + t) % 250}"
+    table = pii.attempts(pii.entity_table(docs), make=narrow)
+    assert table.select("surrogate").distinct().count() == table.count() == 60
+    assert table.where("attempt > 0").count() > 0
+    out = pii.pseudonymise(docs, broadcast=broadcast)
+    seen = {}
+    for r, s in zip(sorted(docs.collect()), sorted(out.collect(), key=lambda x: x.doc_id)):
+        for a, b in zip(pii.entities(r.text), pii.entities(s.text)):
+            assert seen.setdefault(a[3], b[3]) == b[3]
+    assert len(set(seen.values())) == len(seen) == 60
+
+
+def test_segmentation_and_rules(make):
+    costs = {(0, 6): 2.0, (6, 9): 2.0, (0, 4): 3.0}
+    assert url_filter.viterbi("casinowin", costs, 12.0) == ["casino", "win"]
+    assert url_filter.viterbi("qqqq", {}, 12.0) == ["qqqq"]
+    rows = [(1, "http://A.net/x?y", "<p>casino win free text</p>"), (2, "https://www.example.net/en/1", None), (3, "http://b.org/fr/2", ""), (4, "nothing", ""), (5, None, None), (6, "http://m.casinowin.com/de/9", "text"), (7, "http://x.example.com/de/", ""), (7, "http://x.example.com/de/", ""), (None, "http://a.net", ""), (8, "http://goodnews.com/", "good news good news")]
+    pages = make(rows, "page_id long, url string, html string").withColumn("bag", F.lit("x"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()}
+    assert got[1] == ("a.net", "/x", "net/", "block") and got[2][2:] == ("example.net/en/", "allow") and got[3][2:] == ("org/fr/", "allow")
+    assert got[4] == got[5] == ("", "", None, "allow") and got[6][2:] == (None, "block") and got[7][2:] == ("example.com/de/", "block")
+    assert got[None] == ("a.net", "", None, "allow") and got[8][3] == "allow"
+    assert url_filter.judge(pages).count() == len(rows) and url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_skew_join(make):
+    a, b = make([(1, "x"), (None, "y")], "k long, a string"), make([(1, "z")], "k long, b string")
+    assert [tuple(r) for r in skew_join(a, b, ["k"]).collect()] == [(1, "x", "z")]
+    assert skew_join(a, b, ["k"], "left").count() == 2
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = out.collect()
+    assert got and {r.doc_id for r in got} <= set(docs)
+    codec = bpe_tree.TreeCodec.load(RANKS, public_tokenizers.PATTERN)
+    for r in got[:50]:
+        assert len(r.ids) == r.n_tokens
+        if not pii.entities(docs[r.doc_id]):
+            assert codec.decode(np.array(r.ids, dtype=np.int32)).decode() == docs[r.doc_id]

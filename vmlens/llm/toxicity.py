@@ -28,9 +28,9 @@ CUT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> list[int]:
-    """Distinct hashed words of the whole text."""
-    return sorted({zlib.crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in set(LETTERS.findall((text or "").lower()))})
+def features(text: str | None) -> bytes:
+    """Distinct hashed words of the whole text, as packed 32-bit integers."""
+    return np.array(sorted({zlib.crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in set(LETTERS.findall((text or "").lower()))}), dtype=np.int32).tobytes()
 
 
 @dataclass
@@ -54,22 +54,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(out, dtype=np.float64), -30, 30)))
 
 
-def _rows(sets: list[list[int]], kept: np.ndarray) -> np.ndarray:
+def _rows(sets: list[np.ndarray], kept: np.ndarray) -> np.ndarray:
     x = np.zeros((len(sets), len(kept)))
     for i, s in enumerate(sets):
-        x[i, np.searchsorted(kept, np.intersect1d(np.asarray(s, dtype=np.int64), kept))] = 1
+        x[i, np.searchsorted(kept, np.intersect1d(s, kept))] = 1
     return x
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 2e-5) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 2e-5) -> Model:
     """Non-negative PU training with the logistic loss and Adam on the whole sample."""
     prior = min(max(prior, 1e-4), 0.9)
     model = Model(float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return model
     size = 1 << BITS
-    in_p = np.bincount(np.concatenate([np.asarray(s, dtype=np.int64) for s in positive]), minlength=size)
-    in_u = np.bincount(np.concatenate([np.asarray(s, dtype=np.int64) for s in unlabelled]), minlength=size)
+    in_p = np.bincount(np.concatenate(positive), minlength=size)
+    in_u = np.bincount(np.concatenate(unlabelled), minlength=size)
     n_p, n_u = len(positive), len(unlabelled)
     pool = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(pool * (1 - pool) * (1 / n_p + 1 / n_u))
@@ -108,10 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = known.groupBy("i").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi")
     rate, count = known.agg(F.avg(F.col("hi").cast("double")), F.count(F.lit(1))).first()
     prior = prior if prior is not None else (rate or 0.01)
-    hashed = F.udf(features, "array<int>")
+    hashed = F.udf(features, "binary")
     whole = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"))
     ids = known.where("hi = 1").orderBy(F.xxhash64("i")).limit(max_positive).select("i")
-    distinct = lambda rows: [list(x) for x in {tuple(r[0]) for r in rows}]
+    distinct = lambda rows: [np.frombuffer(x, dtype=np.int32) for x in sorted({bytes(r[0]) for r in rows})]
     # one document for each id, should ids be repeated
     positive = distinct(whole.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t")).select(hashed("t")).collect())
     share = min(1.0, max_unlabelled / max(1, docs.count()))
