@@ -23,7 +23,7 @@ def islands(df: DataFrame, by: Sequence[str], position: str) -> DataFrame:
 
 def bitmap_ranges(df: DataFrame, by: Sequence[str], words: str, start: str, page_size: str) -> DataFrame:
     """Dirty bitmap words (array<bigint>, bit i of word k is page 64 k + i) to ranges: by, gpa, length."""
-    pages = df.select(*by, start, page_size, F.posexplode(words).alias("k", "w")).select(*by, start, page_size, F.explode(F.transform(bit_positions(F.col("w")), lambda i: F.col("k").cast("bigint") * 64 + i)).alias("page"))
+    pages = df.select(*by, start, page_size, F.posexplode(words).alias("__k", "__w")).select(*by, start, page_size, F.explode(F.transform(bit_positions(F.col("__w")), lambda i: F.col("__k").cast("bigint") * 64 + i)).alias("page"))
     runs = islands(pages, [*by, start, page_size], "page")
     return runs.select(*by, (F.col(start) + F.col("first") * F.col(page_size)).alias("gpa"), (F.col("n") * F.col(page_size)).alias("length"))
 
