@@ -224,7 +224,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     if not some:
         return sure
     first = marked.where("doc_id <=> component_id").select(F.struct("doc_id", "fp").alias("k"), "root").distinct()
-    again = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_column).alias("doc_id"), fingerprint_column(F.col(text_column)).alias("fp")).alias("k"))
+    again = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_column).alias("doc_id"), fingerprint_column(F.col(text_column), options.get("shingle", SHINGLE), options.get("seed", SEED)).alias("fp")).alias("k"))
     unique_key = unsure.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"))
     again = skew_join(again.withColumn("i", F.coalesce(F.col("k.doc_id").cast("string"), F.lit(""))), unique_key, ["i"])
     key = lambda df: df.withColumn("j", F.to_json("k"))
