@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_aligned, is_power_of_two
+from .ranges import asof, overlaps
 
 Rule = Callable[..., DataFrame]
 RULES: dict[str, Rule] = {}
@@ -100,12 +101,15 @@ def disjoint(df: DataFrame, by: Sequence[str], start: str, length: str, granule:
 
 
 @rule
-def no_split(ranges: DataFrame, cuts: DataFrame, by: Sequence[str], start: str, length: str, name: str = "no_split") -> DataFrame:
-    """Ranges that an unmapping [start, start + length) would cut in two: they overlap it but aren't inside it."""
-    c = cuts.select(*by, F.col(start).alias("__s"), (F.col(start) + F.col(length)).alias("__e"))
-    end = F.col(start) + F.col(length)
-    rows = ranges.join(c, list(by)).where((F.col(start) < F.col("__e")) & (F.col("__s") < end) & ~((F.col(start) >= F.col("__s")) & (end <= F.col("__e"))))
-    return _found(rows, name, F.concat_ws("/", *(F.col(x).cast("string") for x in (*by, start))), F.col("__s"))
+def no_split(ranges: DataFrame, cuts: DataFrame, by: Sequence[str], start: str, length: str, width: int = 1 << 21, name: str = "no_split") -> DataFrame:
+    """Ranges that an unmapping [start, start + length) would cut in two: they overlap it but aren't inside it.
+
+    Both sides are dealt to bins of `width`, as overlaps() says; empty ranges and unmappings cut nothing."""
+    columns = [*by, start, length]
+    pairs = overlaps(ranges.select(*columns), cuts.select(*columns), by, start, length, width)
+    low, cut = F.col(f"l_{start}"), F.col(f"r_{start}")
+    rows = pairs.where((cut > low) | (cut + F.col(f"r_{length}") < low + F.col(f"l_{length}")))
+    return _found(rows, name, F.concat_ws("/", *(F.col(x).cast("string") for x in by), low.cast("string")), cut)
 
 
 def numa_mode(has_nodes: Column, has_zones: Column, hotplug: Column) -> Column:
@@ -127,13 +131,15 @@ def feature_compatibility(source: DataFrame, target: DataFrame, checks: DataFram
 
 @rule
 def restore_ranges(ranges: DataFrame, regions: DataFrame, order: str, page: int, name: str = "restore_ranges") -> DataFrame:
-    """Saved ranges (vm, gpa, length) that aren't aligned, don't lie in one plain region, or whose place in the file isn't aligned."""
+    """Saved ranges (vm, gpa, length) that aren't aligned, don't lie in one plain region, or whose place in the file isn't aligned.
+
+    A machine's regions don't overlap, so the one that begins last before a range is the only one that can hold it."""
     w = Window.partitionBy("vm").orderBy(order)
     at = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = ranges.withColumn("__at", at)
     homes = regions.where("plain").select("vm", F.col("gpa").alias("__g"), F.col("length").alias("__l"))
-    inside = (F.col("gpa") >= F.col("__g")) & (F.col("gpa") + F.col("length") <= F.col("__g") + F.col("__l"))
-    held = r.join(homes, "vm", "left").groupBy(*r.columns).agg(F.coalesce(F.max(inside), F.lit(False)).alias("__in"))
+    inside = F.col("gpa") + F.col("length") <= F.col("__g") + F.col("__l")
+    held = asof(r, homes, ["vm"], "gpa", "__g", ["__l"]).withColumn("__in", F.coalesce(inside, F.lit(False)))
     aligned = is_aligned(F.col("gpa"), F.lit(page)) & is_aligned(F.col("length"), F.lit(page)) & is_aligned(F.col("__at"), F.lit(page))
     what = F.concat_ws(",", F.when(~aligned, "unaligned"), F.when(~F.col("__in"), "outside"))
     return _found(held.where(what != ""), name, F.concat_ws("/", F.col("vm").cast("string"), F.col("gpa").cast("string")), what)

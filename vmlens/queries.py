@@ -379,6 +379,84 @@ def range_bag(spark, sf_dir):
     return aggregates.effective_size(migration.final_delta(n, n), ["n_regionkey"], "length")
 
 
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey % 400 * 8 AS s, 4 + o_orderkey % 13 AS l FROM orders), c AS (SELECT o_custkey AS k, o_orderkey % 37 * 64 AS s, 100 AS l FROM orders)
+SELECT 'no_split' AS rule, o.k || '/' || o.s AS id, CAST(c.s AS VARCHAR) AS detail FROM o JOIN c ON o.k = c.k AND ((c.s > o.s AND c.s < o.s + o.l) OR (c.s + c.l > o.s AND c.s + c.l < o.s + o.l))""")
+def split_violations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    held = o.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 400 * 8).alias("s"), (4 + F.col("o_orderkey") % 13).alias("l"))
+    cuts = o.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 37 * 64).alias("s"), F.lit(100).cast("bigint").alias("l"))
+    return rules.no_split(held, cuts, ["k"], "s", "l", width=128)
+
+
+@query("""WITH r AS (SELECT o_custkey AS vm, o_orderkey % 64 * 4096 AS gpa, (1 + o_orderkey % 3) * 4096 + CASE WHEN o_orderkey % 11 = 0 THEN 8 ELSE 0 END AS l, o_orderkey AS i FROM orders),
+p AS (SELECT *, coalesce(sum(l) OVER (PARTITION BY vm ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM r),
+w AS (SELECT vm, gpa, concat_ws(',', CASE WHEN l % 4096 <> 0 OR at_ % 4096 <> 0 THEN 'unaligned' END, CASE WHEN NOT (vm % 2 = 0 AND gpa + l <= CASE WHEN gpa < 131072 THEN 131072 ELSE 262144 END) THEN 'outside' END) AS what FROM p)
+SELECT 'restore_ranges' AS rule, vm || '/' || gpa AS id, what AS detail FROM w WHERE what <> ''""")
+def restore_violations(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "vm")
+    length = (1 + F.col("o_orderkey") % 3) * 4096 + F.when(F.col("o_orderkey") % 11 == 0, 8).otherwise(0)
+    saved = o.select("vm", (F.col("o_orderkey") % 64 * 4096).alias("gpa"), length.alias("length"), F.col("o_orderkey").alias("i"))
+    halves = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(131072).cast("bigint"))).alias("gpa")
+    regions = o.select("vm").distinct().select("vm", halves, F.lit(131072).cast("bigint").alias("length"), (F.col("vm") % 2 == 0).alias("plain"))
+    return rules.restore_ranges(saved, regions, "i", 4096)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey * 128 AS size, CASE WHEN o_orderkey % 2 = 0 THEN 64 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 8 ELSE 0 END AS hotplugged, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS zone FROM orders)
+SELECT o_orderkey, hotplugged, size + zone + hotplugged AS total, greatest(size + zone - o_orderkey % 1000 * 100, 0) + 5 AS actual FROM o""")
+def memory_sizes(spark, sf_dir):
+    zone = F.struct(F.col("o_custkey").cast("bigint").alias("size"), F.when(F.col("o_custkey") % 2 == 0, F.lit(8).cast("bigint")).alias("hotplugged_size"))
+    machines = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") * 128).alias("size"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(64).cast("bigint")).alias("hotplugged_size"), F.when(F.col("o_orderkey") % 3 == 0, F.array(zone)).alias("zones")
+    )
+    out = aggregates.memory_totals(machines)
+    return out.select("o_orderkey", "hotplugged", "total", aggregates.actual_memory(F.col("total"), F.col("hotplugged"), F.col("o_orderkey") % 1000 * 100, F.lit(5)).alias("actual"))
+
+
+@query("""WITH n AS (SELECT n_nationkey, n_regionkey + 1 AS weight, 1048576 // (4096 * sum(n_regionkey + 1) OVER ()) * 4096 AS unit FROM nation),
+b AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * unit AS start FROM n)
+SELECT n_nationkey, CAST(start AS BIGINT) AS start, CAST(CASE WHEN lead(n_nationkey) OVER (ORDER BY n_nationkey) IS NULL THEN 1048576 - start ELSE weight * unit END AS BIGINT) AS length FROM b""")
+def segment_split(spark, sf_dir):
+    parts = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") + 1).alias("weight"))
+    return ranges.weighted_split(1 << 20, 4096, parts, "n_nationkey", "weight").select("n_nationkey", "start", "length")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS k, o_orderkey % 50 * 4 AS s FROM orders), m AS (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY k ORDER BY s) + 4 = s THEN 0 ELSE 1 END AS f FROM o),
+g AS (SELECT *, sum(f) OVER (PARTITION BY k ORDER BY s) AS r FROM m) SELECT k, min(s) AS s, count(*) * 4 AS l FROM g GROUP BY k, r""")
+def adjacent_regions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 50 * 4).alias("s"), F.lit(4).cast("bigint").alias("l")).distinct()
+    return ranges.merge_adjacent(o, ["k"], "s", "l")
+
+
+@query("SELECT * FROM (SELECT user_id, event_id, lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS previous, CAST(round(value * 100) AS BIGINT) AS cents FROM events) WHERE previous > cents")
+def sortedness_check(spark, sf_dir):
+    return sequences.unsorted(_events(spark, sf_dir, _cents()), ["user_id"], "event_id", "cents").select("user_id", "event_id", "previous", "cents")
+
+
+@query("SELECT o_custkey, CASE WHEN count(*) = 2 THEN max_by(o_orderkey, o_orderkey) - min(o_orderkey) END AS delta FROM orders GROUP BY o_custkey")
+def boot_delta(spark, sf_dir):
+    return sequences.first_to_second(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", "o_orderkey")
+
+
+@query("""SELECT user_id, min(event_id) AS iteration, min_by(d, event_id) AS decision FROM (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN 'done' WHEN event_id % 700 <= 30 THEN 'fits' WHEN event_id % 40 * 100 >= 3600 THEN 'error' END AS d FROM events) WHERE d IS NOT NULL GROUP BY user_id""")
+def convergence_decision(spark, sf_dir):
+    rounds = _events(spark, sf_dir, (F.col("event_id") % 50).alias("num_bytes"), (F.col("event_id") % 700 / 100).alias("est_downtime_s"), (F.col("event_id") % 40 * 100).alias("elapsed_s"))
+    return migration.convergence(migration.decisions(rounds, "num_bytes", "elapsed_s"), ["user_id"], "event_id")
+
+
+@query("SELECT user_id, page FROM (SELECT user_id, event_id % 64 // 4 * 16384 AS page, event_id % 64 % 4 AS sub FROM events) GROUP BY 1, 2 HAVING count(DISTINCT sub) = 4")
+def whole_pages(spark, sf_dir):
+    return aggregates.complete_pages(_events(spark, sf_dir).withColumn("addr", F.col("event_id") % 64 * 4096), ["user_id"], "addr", 16384)
+
+
+@query("""SELECT c_custkey AS function, 0 AS index, c_custkey AS eax, c_nationkey | coalesce(b, 0) AS ebx, 0 AS ecx, 0 | coalesce(d, 0) AS edx FROM customer
+LEFT JOIN (SELECT o_custkey, bit_or(o_orderkey % 64) AS b, bit_or(o_orderkey % 8) AS d FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def patched_registers(spark, sf_dir):
+    zero = F.lit(0).cast("bigint")
+    entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("function"), zero.alias("index"), F.col("c_custkey").alias("eax"), F.col("c_nationkey").cast("bigint").alias("ebx"), zero.alias("ecx"), zero.alias("edx"))
+    patches = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("function"), zero.alias("index"), zero.alias("eax"), (F.col("o_orderkey") % 64).alias("ebx"), zero.alias("ecx"), (F.col("o_orderkey") % 8).alias("edx"))
+    return lookups.apply_patches(entries, patches)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
