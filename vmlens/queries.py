@@ -457,6 +457,76 @@ def patched_registers(spark, sf_dir):
     return lookups.apply_patches(entries, patches)
 
 
+@query("""WITH v AS (SELECT DISTINCT o_custkey % 5 AS leaf, o_orderkey % 8 AS sub_leaf, 'eax' AS register, o_orderkey % 31 AS value FROM orders),
+h AS (SELECT v.*, min_by((v.value & 12) | (n_nationkey % 2), n_nationkey) AS new FROM v LEFT JOIN nation ON n_nationkey % 5 = leaf AND sub_leaf BETWEEN n_regionkey AND n_regionkey + 2 GROUP BY ALL)
+SELECT leaf, sub_leaf, register, coalesce(new, 0) AS value FROM h""")
+def adjusted_registers(spark, sf_dir):
+    values = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("leaf"), (F.col("o_orderkey") % 8).alias("sub_leaf"), F.lit("eax").alias("register"), (F.col("o_orderkey") % 31).cast("bigint").alias("value")).distinct()
+    nation = table(spark, sf_dir, "nation")
+    rows = nation.select(F.col("n_nationkey").alias("ord"), (F.col("n_nationkey") % 5).alias("leaf"), F.col("n_regionkey").alias("low"), (F.col("n_regionkey") + 2).alias("high"), F.lit("eax").alias("register"), F.lit(12).cast("bigint").alias("mask"), (F.col("n_nationkey") % 2).cast("bigint").alias("replacement"))
+    return lookups.adjust_registers(values, rows)
+
+
+@query("SELECT c_custkey, printf('%02x:%02x:%02x:%02x:%02x:%02x', 2, c_custkey % 256, c_custkey // 256 % 256, c_nationkey, 255, 0) AS mac, [2, c_custkey % 256, c_custkey // 256 % 256, c_nationkey, 255, 0] AS parts FROM customer")
+def mac_round_trip(spark, sf_dir):
+    k = F.col("c_custkey")
+    given = F.array(*(x.cast("int") for x in (F.lit(2), k % 256, F.floor(k / 256) % 256, F.col("c_nationkey"), F.lit(255), F.lit(0))))
+    shown = table(spark, sf_dir, "customer").select("c_custkey", numbers.format_mac(given).alias("mac"))
+    return shown.withColumn("parts", numbers.parse_mac(F.col("mac")))
+
+
+@query("SELECT o_orderkey, list_filter(range(0, 20), lambda i: (o_orderkey >> i) & 1 = 1) AS bits, ((o_orderkey >> 3) & 1) = 1 AS has_3 FROM orders WHERE o_orderkey < 1048576")
+def feature_bits(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 1048576")
+    return o.select("o_orderkey", numbers.bit_positions(F.col("o_orderkey")).alias("bits"), numbers.has_feature(F.col("o_orderkey"), F.lit(3)).alias("has_3"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS toggled,
+CASE WHEN p_partkey % 5 > 0 THEN ['a', CAST(p_partkey AS VARCHAR)] END AS keys, CASE WHEN p_partkey % 5 > 0 THEN ['[1,2]', '"x@y"'] END AS vals FROM part""")
+def toggles_and_pairs(spark, sf_dir):
+    k = F.col("p_partkey")
+    word = F.element_at(F.array(F.lit("ON"), F.lit(""), F.lit("true"), F.lit("yes")), (k % 4 + 1).cast("int"))
+    pairs = options.pair_list(F.concat(F.lit("[a@[1,2],"), F.when(k % 5 > 0, k.cast("string")).otherwise(""), F.lit('@"x@y"]')))
+    return table(spark, sf_dir, "part").select("p_partkey", options.toggle(word).alias("toggled"), pairs["key"].alias("keys"), pairs["value"].alias("vals"))
+
+
+@query("""SELECT p_partkey, 'md5' AS algorithm, md5(p_name) AS actual FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'sha256', sha256(p_name) FROM part WHERE p_partkey % 3 = 0""")
+def digest_check(spark, sf_dir):
+    name = F.col("p_name").cast("binary")
+    want = F.create_map(F.lit("md5"), F.when(F.col("p_partkey") % 7 == 0, "0").otherwise(F.upper(F.md5(name))), F.lit("sha256"), F.when(F.col("p_partkey") % 3 == 0, "0").otherwise(F.sha2(name, 256)))
+    files = table(spark, sf_dir, "part").select("p_partkey", name.alias("data"), want.alias("expected"))
+    return aggregates.digest_mismatches(files, "data", "expected").select("p_partkey", "algorithm", "actual")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS image, list_transform(list_filter(range(1, 11), lambda i: (p_partkey >> i) > 0), lambda i: CAST(p_partkey >> i AS VARCHAR)) AS chain, (p_partkey >> 11) > 0 AS too_deep FROM part""")
+def backing_chains(spark, sf_dir):
+    half = F.shiftright(F.col("p_partkey"), 1)
+    return graph.backing_chain(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("image"), F.when(half > 0, half.cast("string")).alias("backing")))
+
+
+@query("SELECT user_id, sum(event_id) AS total_bytes, max(event_id % 3) AS elapsed_s, CASE WHEN max(event_id % 3) > 0 THEN round(sum(event_id) / max(event_id % 3), 6) ELSE 0 END AS average FROM events GROUP BY user_id")
+def average_bandwidths(spark, sf_dir):
+    out = migration.average_bandwidth(_events(spark, sf_dir).withColumn("elapsed", F.col("event_id") % 3), ["user_id"], "event_id", "elapsed")
+    return out.withColumn("average", F.round("average", 6))
+
+
+@query("""SELECT o_custkey, o_orderkey, round(10 + o_orderkey * 980.0 / 1e9, 9) AS x, round(o_custkey * 1000000 * 980.0 / 1e9, 6) AS w, CAST(o_custkey AS BIGINT) AS label_ms, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord FROM orders WHERE o_orderkey % 9 > 0""")
+def span_drawing(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderkey") + F.col("o_custkey") * 1_000_000).alias("stop"), F.lit(1e9).alias("total"))
+    return sequences.span_layout(o, "o_custkey", "o_orderkey", "stop", "total").select("o_custkey", "o_orderkey", F.round("x", 9).alias("x"), F.round("w", 6).alias("w"), "label_ms", "ord")
+
+
+@query("SELECT DISTINCT k FROM (SELECT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT n_nationkey FROM nation) UNION ALL SELECT r_regionkey + 1000 FROM region)")
+def profile_index(spark, sf_dir):
+    index, required = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    return lookups.profile_keys(index, required, table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("k")), "k")
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_keys(spark, sf_dir):
+    return lookups.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
