@@ -221,6 +221,19 @@ def test_surrogates_are_distinct_and_consistent(make):
     assert pii.surrogate("surname", "иванов") != "иванов" and pii.surrogate("surname", "иванов")[0] > "Ѐ"
 
 
+def test_mentions_of_names_and_numbers_that_are_no_cards():
+    text = "Later Smith met Frau Anna Smith's aunt: Anna, not Annabel, Smithson or smith. Smith's 4111 1111 1111 1112, 4111 1111 1111 1111, Smith@x.org"
+    found = pii.entities(text)
+    assert all(text[a:b] in ("Smith", "Anna", "4111 1111 1111 1111", "Smith@x.org") for a, b, _, _ in found)
+    assert [k for _, _, k, _ in found] == ["surname", "given_f", "surname", "given_f", "surname", "card", "email"]
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    out, n = pii.replaced(text, lambda k, v: 0)
+    assert n == 7 and "Annabel, Smithson or smith" in out and "4111 1111 1111 1112" in out
+    name = pii.rendered("surname", "Smith", pii.surrogate("surname", "smith"))
+    assert out.count(name) == 3
+    assert pii.entities("Anna and Smith, 4111 1111 1111 1112") == []
+
+
 @pytest.mark.parametrize("broadcast", [100, 0])
 def test_collisions_go_on(make, monkeypatch, broadcast):
     """With few possible surrogates some collide; both ways back to the texts keep them distinct."""

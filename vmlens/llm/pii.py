@@ -1,8 +1,9 @@
 """PII surrogates: keyed, type-consistent replacements with a collision check over the whole corpus.
 
 An entity's surrogate is derived from HMAC-SHA256 of its type, canonical value and attempt, in the same format: digits
-for digits, letters of the same script and case, the same separators, a valid check digit where there was one, a given
-name of the same gender. Equal entities have equal surrogates everywhere, in whatever format they're written.
+for digits, letters of the same script and case, the same separators, a valid check digit for cards (digits without one
+are no card), a given name of the same gender. Equal entities have equal surrogates everywhere, in whatever format
+they're written; a name found after a form of address is also replaced where its document mentions it without one.
 Distinctness is checked on the table of distinct entities: where two share a surrogate, or a surrogate is the value of
 some entity of the corpus, all but the smallest go on to the next attempt, until none is left. Only those exceptions
 need to be carried back to the texts.
@@ -27,7 +28,7 @@ BROADCAST_EXCEPTIONS = 100_000
 MAX_ATTEMPTS = 50
 
 #: A capitalised word of any script.
-NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
 #: Forms of address, by the gender they tell (fixed values).
 TITLES = {
     "m": ["Mr", "Herr", "Señor", "Monsieur", "Sir"],
@@ -49,6 +50,8 @@ PATTERNS = [
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: What any entity but a name has: saves the search of texts and lines that have none of it.
 HINT = re.compile(r"@|\d{3}|\d\.\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:" + "|".join(x for v in TITLES.values() for x in v) + r")\.? ")
+#: A word as NAME has it, of either case.
+MENTION = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*(?!\w)")
 GENDER = {x: g for g, v in TITLES.items() for x in v}
 
 
@@ -67,6 +70,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         kind = "secret" if m.group("secret") else "name" if m.group("name") else kind
         if kind == "secret":
             found.append((*m.span("secret_value"), "secret", m.group("secret_value")))
+        elif kind == "card" and not luhn(re.sub(r"\D", "", m.group())):
+            continue  # a number, but no card's
         elif kind == "name":
             parts = list(re.finditer(r"\S+", m.group("names")))
             at, gender = m.start("names"), GENDER[m.group("title")]
@@ -79,7 +84,26 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(), kind, m.group().lower()))
         else:
             found.append((*m.span(), kind, m.group().replace(" ", "")))
-    return found
+    return with_mentions(text, found)
+
+
+def with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities, and wherever a name that stands after a form of address is mentioned again without one."""
+    names: dict[str, tuple[str, str]] = {}
+    for a, b, kind, value in found:
+        if kind == "surname" or kind.startswith("given_"):
+            names.setdefault(text[a:b], (kind, value))
+    if not names:
+        return found
+    out, rest = [], iter([*found, (len(text), len(text), "", "")])
+    at, following = 0, next(rest)
+    for m in MENTION.finditer(text):
+        while following[1] <= m.start() and following[2]:
+            out.append(following)
+            at, following = following[1], next(rest)
+        if m.group() in names and m.start() >= at and m.end() <= following[0]:
+            out.append((*m.span(), *names[m.group()]))
+    return [*out, *([following] if following[2] else []), *(x for x in rest if x[2])]
 
 
 class Stream:
@@ -142,8 +166,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return value[:code] + str(2 + draw.below(8)) + like(value[code + 1 :], draw)
     if kind == "card":
         body = value[0] + like(value[1:-1], draw)
-        right = next(c for c in "0123456789" if luhn(body + c))
-        return body + (right if luhn(value) else str((int(right) + 1 + draw.below(9)) % 10))
+        return body + next(c for c in "0123456789" if luhn(body + c))
     if kind in ("aws_key", "iban"):
         fixed = 4 if kind == "aws_key" else 2
         return value[:fixed] + like(value[fixed:], draw)
