@@ -155,13 +155,14 @@ def test_components_of_a_path(make):
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys((998, 999, 1000), 998)}
 
 
-def test_embeddings_against_brute_force(make):
+@pytest.mark.parametrize(("block", "piece"), [(32, 2048), (200, 16), (None, 2048)])
+def test_embeddings_against_brute_force(make, block, piece):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 24))
     rows = [(i, (centres[i % 40] + rng.normal(size=24) * (0.2 + 0.3 * (i % 3))).tolist(), 1) for i in range(300)]
     rows += [(300, rows[0][1], 1), (300, rows[0][1], 1), (301, None, 2), (302, [0.0] * 24, 2), (303, [float("nan")] * 24, 2), (304, [], 2), (305, [1.0, 2.0], 2), (306, [2.0, 4.0], 3), (307, [None, 1.0], 2), (None, rows[5][1], 1)]
     df = make(rows, "vec_id long, embedding array<double>, label int")
-    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(df, block=32).collect())
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(df, block=block, piece=piece).collect())
 
     def fine(v):
         return v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and any(v)

@@ -1,9 +1,11 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison, exact for a cosine threshold.
 
 Equal vectors are one class. Classes are ordered along the first principal component and cut into blocks; a row goes to
-the tiles of those blocks whose bounding boxes (in the leading components) it can reach. In a tile the products of the
-leading dimensions come first; with the residual products bounded by the norms of the suffixes, a pair is dropped as
-soon as its cosine cannot reach the threshold, and what is left is checked in double precision on the given vectors.
+the tiles of those blocks whose bounding boxes (in the leading components) it can reach. There are as few blocks as give
+all cores some tiles, and a block has a bounded size, so rows are sent no more often than that takes. A tile is compared
+in pieces, and pieces whose boxes are too far apart are left out. In the others the products of the leading dimensions
+come first; with the residual products bounded by the norms of the suffixes, a pair is dropped as soon as its cosine
+cannot reach the threshold, and what is left is checked in double precision on the given vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +18,12 @@ from pyspark.sql import functions as F
 from .common import components, durable, merge_labels, skew_join
 
 THRESHOLD = 0.9
-BLOCK = 2048
+#: Rows of a piece; a block is compared piece by piece and has at least as many rows.
+PIECE = 2048
+#: Components that the vectors of a block have at most, about: bounds a task's memory.
+BLOCK_VALUES = 2_000_000
+#: Tiles for each core or shuffle partition, whichever are more, about. More blocks send every row to more tiles.
+TILES_PER_CORE = 4
 #: The basis is fitted to a bounded sample: it orders the work and has no part in the result.
 SAMPLE_VALUES, SAMPLE_ROWS = 4_000_000, 20_000
 BOX_DIMS = 8
@@ -73,7 +80,52 @@ def tile_links(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float
     return np.concatenate(keep_i or empty), np.concatenate(keep_j or empty)
 
 
-def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def pieces(rows: np.ndarray, basis: np.ndarray, piece: int = PIECE) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, low, high) of pieces along the first principal component; low and high are corners of their boxes."""
+    lead = rows @ basis[:, :BOX_DIMS]
+    order = np.argsort(lead[:, 0], kind="stable")
+    return [(at, lead[at].min(axis=0), lead[at].max(axis=0)) for at in (order[i : i + piece] for i in range(0, len(order), piece))]
+
+
+def apart(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> np.ndarray:
+    """Least squared distance of boxes (or of points, where low is high) along the last axis."""
+    gap = np.maximum(0, np.maximum(low - high2, low2 - high))
+    return (gap * gap).sum(axis=-1)
+
+
+def reach(threshold: float) -> float:
+    """Largest squared distance of unit vectors that link, with room for rounding."""
+    return 2 - 2 * threshold + SLACK
+
+
+def block_links(x: np.ndarray, y: np.ndarray | None, lengths: np.ndarray, weights: np.ndarray, basis: np.ndarray, threshold: float = THRESHOLD, piece: int = PIECE):
+    """(links, label) of the rows of x and y, or of x alone if y is None: linked weight, and index of the smallest row joined to.
+
+    Rows of different `lengths` don't link. Links are counted piece by piece, so memory is bounded whatever links.
+    """
+    n, shift = len(lengths), 0 if y is None else len(x)
+    links, label, own = np.zeros(n), np.arange(n), np.arange(n)
+    left = pieces(x, basis, piece)
+    right = left if y is None else pieces(y, basis, piece)
+    other = x if y is None else y
+    for s, (a, *box) in enumerate(left):
+        for t, (b, *box2) in enumerate(right):
+            if (y is None and t < s) or apart(*box, *box2) > reach(threshold):
+                continue
+            p, q = tile_links(x[a], other[b], basis, threshold)
+            p, q = a[p], b[q] + shift
+            fits = lengths[p] == lengths[q]
+            if y is None and s == t:
+                fits &= p < q
+            p, q = p[fits], q[fits]
+            if len(p):
+                links += np.bincount(p, weights=weights[q], minlength=n) + np.bincount(q, weights=weights[p], minlength=n)
+                # labels so far stand for their links
+                label = merge_labels(np.concatenate([p, own]), np.concatenate([q, label]), n)
+    return links, label
+
+
+def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, block: int | None = None, piece: int = PIECE) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
@@ -88,6 +140,10 @@ def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column
     total, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not total:
         return source.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if block is None:
+        cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        blocks = int(np.ceil(np.sqrt(2 * TILES_PER_CORE * cores)))
+        block = max(PIECE, min(-(-total // blocks), BLOCK_VALUES // dim))
     rows = min(SAMPLE_ROWS, max(2, SAMPLE_VALUES // dim))
     sample = unit(stack([r["v"] for r in classes.orderBy(F.xxhash64("cid")).select("v").limit(rows).collect()], dim)[0])
     values, basis = np.linalg.eigh(sample.T @ sample)
@@ -112,7 +168,7 @@ def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column
     parts = np.array([-(-boxes[x]["rows"] // block) for x in names], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(parts)])
     position = {x: k for k, x in enumerate(names)}
-    reach = 2 - 2 * threshold + SLACK
+    limit = reach(threshold)
 
     def deal(batches):
         for pdf in batches:
@@ -120,8 +176,7 @@ def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column
             own = pdf["bin"].map(position).to_numpy()
             home = first[own] + (pdf["cid"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[own]
             for k in range(len(names)):
-                gap = np.maximum(0, np.maximum(low[k] - r, r - high[k]))
-                near = np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+                near = np.flatnonzero(apart(r, r, low[k], high[k]) <= limit)
                 for b in range(first[k], first[k + 1]):
                     if len(near):
                         h = home[near]
@@ -133,18 +188,10 @@ def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column
         b = a if i == j else pdf[pdf["home"] == j]
         if not len(a) or not len(b):
             return pd.DataFrame({"cid": [], "links": [], "root": []})
-        (x, la), (y, lb) = stack(a["v"].tolist(), dim), stack(b["v"].tolist(), dim)
-        p, q = tile_links(unit(x), unit(y), basis, threshold)
-        same = la[p] == lb[q]
-        p, q = p[same], q[same]
-        if i == j:
-            p, q = p[p != q], q[p != q]
-            cid, links = a["cid"].to_numpy(), np.bincount(p, weights=a["n"].to_numpy()[q], minlength=len(a))
-            label = merge_labels(p, q, len(a))
-        else:
-            cid = np.concatenate([a["cid"].to_numpy(), b["cid"].to_numpy()])
-            links = np.concatenate([np.bincount(p, weights=b["n"].to_numpy()[q], minlength=len(a)), np.bincount(q, weights=a["n"].to_numpy()[p], minlength=len(b))])
-            label = merge_labels(p, q + len(a), len(cid))
+        both = a if i == j else pd.concat([a, b])
+        x, lengths = stack(both["v"].tolist(), dim)
+        x, cid = unit(x), both["cid"].to_numpy()
+        links, label = block_links(x[: len(a)], None if i == j else x[len(a) :], lengths, both["n"].to_numpy(), basis, threshold, piece)
         least = np.full(len(cid), np.iinfo(np.int64).max)
         np.minimum.at(least, label, cid)
         some = links > 0
