@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import numbers, options, text
 from .operators import aggregates, graph, lookups, ranges, rules, sequences, state
 from .plans import migration
+from .sources import telemetry
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -527,6 +528,147 @@ def missing_keys(spark, sf_dir):
     return lookups.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
+@query("""WITH r AS (SELECT l_suppkey % 10 AS device_id, CASE WHEN l_linenumber % 2 = 0 THEN 'read' ELSE 'write' END AS d, CAST(l_quantity AS BIGINT) * 512 AS b, l_partkey % 1000 AS lat, l_orderkey % 17 <> 0 AS fine FROM lineitem),
+g AS (SELECT device_id, d, coalesce(sum(b) FILTER (fine), 0) AS b, count(*) FILTER (fine) AS n, min(lat) FILTER (fine) AS lo, max(lat) FILTER (fine) AS hi, floor(avg(lat) FILTER (fine)) AS mean FROM r GROUP BY 1, 2),
+a AS (SELECT x.device_id, y.d, coalesce(b, 0) AS b, coalesce(n, 0) AS n, lo, hi, mean FROM (SELECT DISTINCT device_id FROM r) x CROSS JOIN (VALUES ('read'), ('write')) y(d) LEFT JOIN g ON g.device_id = x.device_id AND g.d = y.d)
+SELECT device_id, d || '_bytes' AS counter, CAST(b AS BIGINT) AS value FROM a UNION ALL SELECT device_id, d || '_ops', n FROM a UNION ALL SELECT device_id, d || '_latency_min', lo FROM a WHERE n > 0
+UNION ALL SELECT device_id, d || '_latency_max', hi FROM a WHERE n > 0 UNION ALL SELECT device_id, d || '_latency_avg', CAST(mean AS BIGINT) FROM a WHERE n > 0""")
+def block_request_counters(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 10).alias("device_id"), F.when(F.col("l_linenumber") % 2 == 0, "read").otherwise("write").alias("direction"),
+        (F.col("l_quantity").cast("bigint") * 512).alias("bytes"), (F.col("l_partkey") % 1000).alias("latency_us"), F.when(F.col("l_orderkey") % 17 == 0, -1).otherwise(0).alias("result"),
+    )
+    return aggregates.request_counters(rows, ["device_id"])
+
+
+@query("""WITH f AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS k, o_orderkey AS id, o_orderkey * 37 % 210000 AS addr, o_orderkey * 37 % 210000 // 4096 * 4096 AS page_addr FROM orders)
+SELECT f.*, CAST(n_nationkey AS BIGINT) * 8192 AS base, CASE WHEN n_nationkey IS NOT NULL THEN (page_addr - n_nationkey * 8192) // 4096 END AS page
+FROM f LEFT JOIN nation ON n_regionkey = k AND page_addr >= n_nationkey * 8192 AND page_addr < n_nationkey * 8192 + 6144""")
+def page_fault_lookup(spark, sf_dir):
+    faults = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("int").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 210000).alias("addr"))
+    held = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), (F.col("n_nationkey").cast("bigint") * 8192).alias("base"), F.lit(6144).cast("bigint").alias("length"))
+    return lookups.page_faults(faults, held, ["k"], 4096)
+
+
+@query("""WITH q AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS k, o_orderkey AS id, o_orderkey * 11 % 160000 AS addr, 1 + o_orderkey % 4096 AS size FROM orders)
+SELECT k, id, addr, size, min(n_nationkey * 100000 + addr - n_nationkey * 6000) AS translated
+FROM q LEFT JOIN nation ON n_regionkey = k AND addr >= n_nationkey * 6000 AND addr + size <= n_nationkey * 6000 + 8000 GROUP BY 1, 2, 3, 4""")
+def reverse_translation(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("int").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 11 % 160000).alias("addr"), (1 + F.col("o_orderkey") % 4096).alias("size"))
+    n = F.col("n_nationkey").cast("bigint")
+    held = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), (n * 100000).alias("iova"), (n * 6000).alias("gpa"), F.lit(8000).cast("bigint").alias("size"))
+    return ranges.translate_back(asked, held, ["k"], width=8192)
+
+
+@query("""WITH q AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS k, o_orderkey AS id, o_orderkey * 13 % 50000 AS s, 1 + o_orderkey % 9000 AS l, o_orderkey % 2 = 0 AS w FROM orders),
+e AS (SELECT n_regionkey AS k, CAST(n_nationkey AS BIGINT) * 2000 AS s, CASE n_nationkey % 7 WHEN 0 THEN 'RDONLY' WHEN 1 THEN 'NOACCESS' ELSE 'RW' END AS access FROM nation)
+SELECT q.k, q.id, greatest(q.s, e.s) AS seg_start, least(q.s + q.l, e.s + 2000) - greatest(q.s, e.s) AS seg_length, bool_or(access = 'NOACCESS' OR (w AND access = 'RDONLY')) OVER (PARTITION BY q.k, q.id) AS denied
+FROM q JOIN e ON q.k = e.k AND q.s < e.s + 2000 AND e.s < q.s + q.l""")
+def extent_segments(spark, sf_dir):
+    o, n = F.col("o_orderkey"), F.col("n_nationkey")
+    asked = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("int").alias("k"), o.alias("id"), (o * 13 % 50000).alias("start"), (1 + o % 9000).alias("length"), (o % 2 == 0).alias("write"))
+    access = F.when(n % 7 == 0, "RDONLY").when(n % 7 == 1, "NOACCESS").otherwise("RW")
+    held = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), (n.cast("bigint") * 2000).alias("start"), F.lit(2000).cast("bigint").alias("length"), access.alias("access"))
+    return ranges.segments(asked, held, ["k"], "start", "length", "access", "write", 8192).select("k", F.col("l_id").alias("id"), "seg_start", "seg_length", "denied")
+
+
+@query("""SELECT b.p_name AS package, b.p_size AS version, a.p_name AS dependent FROM (SELECT DISTINCT l_partkey AS id, l_suppkey AS dep_id FROM lineitem) e JOIN part a ON a.p_partkey = e.id JOIN part b ON b.p_partkey = e.dep_id""")
+def package_dependents(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("dep_id")).distinct()
+    return lookups.dependents(edges, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("version")))
+
+
+@query("""WITH d AS (SELECT n_nationkey AS node, unnest([n_nationkey + 1, n_nationkey * 2 % 30]) AS dest FROM nation)
+SELECT DISTINCT * FROM (SELECT n_nationkey AS node, 'unknown zone' AS problem FROM nation WHERE n_nationkey % 7 > 4
+UNION ALL SELECT node, 'unknown destination' FROM d WHERE dest NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT node, 'repeated destination' FROM d GROUP BY node, dest HAVING count(*) > 1)""")
+def numa_problems(spark, sf_dir):
+    n = F.col("n_nationkey")
+    zone = lambda c: F.concat(F.lit("z"), c.cast("string"))
+    distance = lambda c: F.struct(c.alias("destination"), F.lit(20).alias("distance"))
+    nodes = table(spark, sf_dir, "nation").select(n.alias("node"), F.array(zone(F.col("n_regionkey")), zone(n % 7)).alias("memory_zones"), F.array(distance(n + 1), distance(n * 2 % 30)).alias("distances"))
+    zones = table(spark, sf_dir, "region").select(zone(F.col("r_regionkey")).alias("zone"), F.array("r_regionkey").alias("regions"))
+    return lookups.assemble_numa(nodes, zones)[1]
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS boot, p_partkey % 60 AS most, p_partkey % 4 AS a, p_partkey % 3 AS b, CASE WHEN p_partkey % 13 = 0 THEN '__' || p_partkey ELSE 'd' || p_partkey END AS name FROM part)
+SELECT 'vcpus' AS rule, CAST(id AS VARCHAR) AS id, '' AS detail FROM p WHERE most < boot OR most > 55 UNION ALL SELECT 'topology', CAST(id AS VARCHAR), '' FROM p WHERE a = 0 OR b = 0 OR a * b <> most
+UNION ALL SELECT 'queue_size', CAST(id AS VARCHAR), '' FROM p WHERE boot <= 0 OR bit_count(boot) <> 1 UNION ALL SELECT 'bounds', CAST(id AS VARCHAR), '' FROM p WHERE boot + a > most UNION ALL SELECT 'reserved_prefix', name, '__' FROM p WHERE starts_with(name, '__')""")
+def config_violations(spark, sf_dir):
+    key = F.col("p_partkey")
+    name = F.when(key % 13 == 0, F.concat(F.lit("__"), key.cast("string"))).otherwise(F.concat(F.lit("d"), key.cast("string")))
+    p = table(spark, sf_dir, "part").select(key.alias("id"), F.col("p_size").alias("boot"), (key % 60).alias("most"), (key % 4).alias("a"), (key % 3).alias("b"), name.alias("name"))
+    checks = {"vcpus": rules.vcpu_bounds("boot", "most", 55), "topology": rules.topology_broken(["a", "b"], "most"), "queue_size": rules.not_power_of_two("boot"), "bounds": rules.beyond_bounds("boot", "a", "most")}
+    return rules.violations([*(rules.condition(p, broken, "id", name=what) for what, broken in checks.items()), rules.reserved_prefix(p, "name")])
+
+
+@query("""WITH b AS (SELECT o_custkey AS key FROM orders)
+SELECT 'batch_keys' AS rule, CAST(key AS VARCHAR) AS id, 'repeated' AS detail FROM b GROUP BY key HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'batch_keys', CAST(key AS VARCHAR), 'in flight' FROM b WHERE key IN (SELECT s_suppkey FROM supplier)""")
+def batch_key_violations(spark, sf_dir):
+    return rules.batch_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")), "key")
+
+
+@query("""WITH r AS (SELECT n_nationkey AS region_id, CAST(n_nationkey AS BIGINT) * 1000 AS gpa FROM nation), e AS (SELECT s_nationkey AS region_id, s_nationkey * 1000 + s_suppkey % 900 AS gpa FROM supplier)
+SELECT region_id, greatest(r.gpa, e.gpa) AS gpa, least(r.gpa + 1000, e.gpa + 300) - greatest(r.gpa, e.gpa) AS length FROM r JOIN e USING (region_id) UNION ALL SELECT region_id, gpa, 1000 FROM r WHERE region_id NOT IN (SELECT region_id FROM e)""")
+def sparse_policy_ranges(spark, sf_dir):
+    n = F.col("n_nationkey")
+    regions = table(spark, sf_dir, "nation").select(n.alias("region_id"), (n.cast("bigint") * 1000).alias("gpa"), F.lit(1000).cast("bigint").alias("length"), (n % 2 == 0).alias("persisted"))
+    extents = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region_id"), (F.col("s_nationkey") * 1000 + F.col("s_suppkey") % 900).alias("gpa"), F.lit(300).cast("bigint").alias("length"))
+    return ranges.policy_ranges(regions, extents, "sparse", 1000)
+
+
+@query("SELECT o_orderkey, o_custkey % 50 AS kill_time FROM orders WHERE o_orderkey % 3 = 0 ORDER BY o_orderkey LIMIT 128")
+def kill_queue_take(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 50).alias("kill_time"))
+    return lookups.kill_queue(o, "o_orderkey", "kill_time")[0]
+
+
+@query("""SELECT o_orderkey, gcd(o_orderkey, o_custkey) AS common, o_orderkey // 8 * 8 AS down, (o_orderkey + 7) // 8 * 8 AS up, (o_orderkey + 6) // 7 AS parts, o_orderkey >> 9 AS l1, o_orderkey & 511 AS l2,
+array_to_string(list_filter(range(64), lambda i: (o_orderkey >> i) & 1 = 1), ',') AS bits, CASE WHEN o_custkey % 5 > 0 THEN o_orderkey + o_custkey % 5 - 1 END AS last,
+CASE WHEN o_custkey % 5 > 0 THEN round(o_orderkey / (o_custkey % 5), 6) ELSE 0 END AS rate, o_totalprice > 100000 * 0.9 AND o_totalprice < 100000 * 1.1 AS near FROM orders""")
+def integer_arithmetic(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey") % 5
+    index = numbers.split_index(o, 512)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", numbers.gcd(o, F.col("o_custkey")).alias("common"), numbers.align_down(o, F.lit(8)).alias("down"), numbers.align_up(o, F.lit(8)).alias("up"), numbers.div_round_up(o, F.lit(7)).alias("parts"), index["l1"].alias("l1"), index["l2"].alias("l2"),
+        F.array_join(numbers.bit_positions(o).cast("array<string>"), ",").alias("bits"), numbers.inclusive_end(o, c).cast("bigint").alias("last"), F.round(numbers.bandwidth(o, c), 6).alias("rate"), numbers.within_tolerance(F.col("o_totalprice"), F.lit(100000), 0.1).alias("near"),
+    )
+
+
+@query("SELECT o_orderkey, printf('%dms (final_iter:%dms state:%dms send_state:%dms complete:%dms)', o_orderkey, o_custkey, o_orderkey % 7, o_orderkey % 11, o_orderkey % 13) AS line FROM orders")
+def downtime_lines(spark, sf_dir):
+    o = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.downtime_line(o, F.col("o_custkey"), o % 7, o % 11, o % 13).alias("line"))
+
+
+@query("""WITH u AS (SELECT o_custkey, list(DISTINCT o_orderkey % 5) AS used FROM orders GROUP BY 1) SELECT o_custkey, 'disk' || list_filter(range(1, 8), lambda i: NOT list_contains(used, i))[1] AS name FROM u""")
+def next_device_names(spark, sf_dir):
+    used = F.collect_set(F.concat(F.lit("disk"), (F.col("o_orderkey") % 5).cast("string")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(used.alias("used")).select("o_custkey", text.next_name("disk", F.col("used"), F.lit(1)).alias("name"))
+
+
+@query("SELECT c_custkey, CASE lower(c_mktsegment) WHEN 'building' THEN 'Local' WHEN 'machinery' THEN 'Remote' END AS mode, right(c_name, 6) AS tail FROM customer")
+def enum_and_tail(spark, sf_dir):
+    mode = text.parse_enum(F.col("c_mktsegment"), {"Building": "Local", "Machinery": "Remote"})
+    return table(spark, sf_dir, "customer").select("c_custkey", mode.alias("mode"), text.keep_tail(F.col("c_name").cast("binary"), 6).cast("string").alias("tail"))
+
+
+@query("""SELECT o_orderkey, o_totalprice AS sent, round((o_custkey * 3.0 - o_orderkey % 3) / 5.5, 6) AS packets, round(o_custkey * 512 / ((1 + o_orderkey % 9) / 1000.0) + o_orderkey / 0.25, 4) AS bytes FROM orders""")
+def tool_outputs(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rate = lambda total, ms: F.struct(total.cast("double").alias("io_bytes"), ms.cast("double").alias("runtime"))
+    network = F.struct(F.struct(F.col("o_totalprice").alias("bits_per_second")).alias("sum_sent"), F.struct((c * 3).cast("double").alias("packets"), (o % 3).cast("double").alias("lost_packets"), F.lit(5.5).alias("seconds")).alias("sum"))
+    jobs = F.array(F.struct(rate(c * 512, 1 + o % 9).alias("read")), F.struct(rate(o, F.lit(250)).alias("read")))
+    shown = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(network.alias("end"))).alias("iperf"), F.to_json(F.struct(jobs.alias("jobs"))).alias("fio"))
+    return shown.select("o_orderkey", telemetry.iperf_value(F.col("iperf")).alias("sent"), F.round(telemetry.iperf_value(F.col("iperf"), what="packets"), 6).alias("packets"), F.round(telemetry.fio_value(F.col("fio"), 2), 4).alias("bytes"))
+
+
+@query("SELECT 'supplier' || s_suppkey AS device_id, unnest(['rx_bytes', 'tx_bytes']) AS counter, unnest([s_suppkey * 1500, CAST(s_nationkey AS BIGINT)]) AS value FROM supplier")
+def counter_snapshot(spark, sf_dir):
+    counters = F.create_map(F.lit("rx_bytes"), F.col("s_suppkey") * 1500, F.lit("tx_bytes"), F.col("s_nationkey").cast("bigint"))
+    shown = table(spark, sf_dir, "supplier").select(F.to_json(F.create_map(F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string")), counters)).alias("value"))
+    return telemetry.parse_counters(shown).withColumn("value", F.col("value").cast("bigint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
