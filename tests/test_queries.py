@@ -23,6 +23,14 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_feature_bits_of_all_keys(spark, tmp_path):
+    """Keys beyond the oracle's 20 bits too."""
+    keys = [5, (1 << 20) - 1, 1 << 20, (1 << 40) + 8, (1 << 62) + 1]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(map(str, r)) for r in Q.feature_bits(spark, str(tmp_path)).collect()}
+    assert got == {(str(k), str([i for i in range(64) if k >> i & 1]), str(bool(k >> 3 & 1))) for k in keys}
+
+
 def test_token_bucket_against_model(spark):
     """The streamed fold equals a plain loop over each user's requests."""
     from vmlens.operators.state import TokenBucket
