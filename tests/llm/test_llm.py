@@ -251,6 +251,29 @@ def test_collisions_go_on(make, monkeypatch, broadcast):
     assert len(set(seen.values())) == len(seen) == 60
 
 
+def test_every_entity_gets_a_surrogate(make):
+    """Secrets without letters of an alphabet, and more values than their format has."""
+    texts = ["password: ********", "token = ------", "secret=密码密码密码", "pwd=שלוםשלום", "ssn ٠١٢-٣٤-٥٦٧٨", "mail -@-.com"]
+    out = {r.doc_id: r for r in pii.pseudonymise(make(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, text in enumerate(texts):
+        (a, b, _, _), = pii.entities(text)
+        assert out[i].n_entities == 1 and text[a:b] not in out[i].text and out[i].text.startswith(text[:a])
+    narrow = make([("secret", f"{i}*****") for i in range(10)] + [("secret", f"{c}_____") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
+    got = pii.attempts(narrow).collect()
+    assert len(got) == len({r.surrogate for r in got} | {r.value for r in got}) / 2 == 36
+
+
+def test_formats_get_wider():
+    """Every format has as many surrogates as it takes, rendered without loss."""
+    assert pii.luhn(pii.surrogate("card", "4111111111111111110"))
+    for kind, value, shown in [("ip", "192.168.1.2", "192.168.1.2"), ("ssn", "123456789", "123-45-6789"), ("phone", "4512345678", "+45 12 34 56 78"), ("card", "4111111111111111", "4111 1111 1111 1111"), ("iban", "NO9386011117947", "NO93 8601 1117 947"), ("email", "a@x.org", "a@x.org"), ("aws_key", "AKIA" + "A" * 16, "AKIA" + "A" * 16), ("secret", "1*****", "1*****")]:
+        for t in (0, 15, 16, 40, 200):
+            made = pii.surrogate(kind, value, t)
+            plain = "".join(c for c in pii.rendered(kind, shown, made) if c.isalnum() or kind in ("ip", "email", "secret"))
+            assert plain == made and (kind == "ip" or len(made) >= len(value) + t // pii.ATTEMPTS_A_FORMAT)
+    assert len({pii.surrogate("ip", f"192.168.{i}.{j}", 16) for i in range(256) for j in range(256)}) > 65_000
+
+
 def test_segmentation_and_rules(make):
     costs = {(0, 6): 2.0, (6, 9): 2.0, (0, 4): 3.0}
     assert url_filter.viterbi("casinowin", costs, 12.0) == ["casino", "win"]

@@ -5,8 +5,8 @@ for digits, letters of the same script and case, the same separators, a valid ch
 are no card), a given name of the same gender. Equal entities have equal surrogates everywhere, in whatever format
 they're written; a name found after a form of address is also replaced where its document mentions it without one.
 Distinctness is checked on the table of distinct entities: where two share a surrogate, or a surrogate is the value of
-some entity of the corpus, all but the smallest go on to the next attempt, until none is left. Only those exceptions
-need to be carried back to the texts.
+some entity of the corpus, all but the smallest go on to the next attempt, until none is left; every few attempts the
+format gets wider, so there are always free surrogates. Only those exceptions need to be carried back to the texts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,8 @@ from .common import durable, skew_join, small_batches
 KEY = b"change-me"
 #: Exceptions up to which they're sent to every task; beyond, they're joined to the texts that hold them.
 BROADCAST_EXCEPTIONS = 100_000
-MAX_ATTEMPTS = 50
+#: Attempts in a format, before the next one has a character more (of addresses: a wider range).
+ATTEMPTS_A_FORMAT = 16
 
 #: A capitalised word of any script.
 NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
@@ -127,12 +130,28 @@ VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδκλμνπρστ"}
 
 
-def like(text: str, draw: Stream) -> str:
-    """Characters of the same kind; hexadecimal strings stay hexadecimal."""
-    digits = "0123456789abcdef" if len(text) >= 16 and re.fullmatch(r"[0-9a-f]+", text) else None
+#: For secrets that have neither letters nor digits.
+SYMBOLS = "!#$%&()*+-./:<=>?@[]^_{|}~"
+
+
+@cache
+def alphabet_of(c: str) -> str:
+    """What stands for a character: of letters and digits outside ALPHABETS, those of their kind nearby; of others nothing."""
+    kind = unicodedata.category(c)
+    if c in ALPHABET or kind[0] not in "LN":
+        return ALPHABET.get(c, "")
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind)
+
+
+def like(text: str, draw: Stream, others: str = "") -> str:
+    """Characters of the same kind; hexadecimal strings (not those of digits alone) stay hexadecimal. Texts without any such characters are drawn from `others`."""
+    fixed = "0123456789abcdef" if len(text) >= 16 and re.fullmatch(r"[0-9]*[a-f][0-9a-f]*", text) else None
+    if others and not any(len(alphabet_of(c)) > 1 for c in text):
+        fixed = others
     out = []
     for c in text:
-        alphabet = digits or ALPHABET.get(c, "")
+        alphabet = fixed or alphabet_of(c)
         out.append(alphabet[draw.below(len(alphabet))] if alphabet else c)
     return "".join(out)
 
@@ -146,38 +165,50 @@ def name_like(value: str, gender: str, draw: Stream, attempt: int) -> str:
     return out[:-1] + vowels[0] if gender == "f" else out + consonants[draw.below(len(consonants))] if gender in ("m", "s") else out
 
 
+def address_like(value: str, draw: Stream, wider: int) -> str:
+    """An address of the same private range, else a public one; then of 10.0.0.0/8, of all public ones, and of 2001:db8::/32."""
+    first, second, *_ = value.split(".")
+    keep = [first] if first in ("10", "127", "0") else [first, second] if (first, second) in (("192", "168"), ("169", "254")) or (first == "172" and 16 <= int(second) < 32) else []
+    if wider > 2:
+        return "2001:db8:" + ":".join(f"{1 + draw.below(65535):x}" for _ in range(6))
+    if wider and keep:
+        keep = ["10"] if wider == 1 else []
+    public = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
+    rest = [str(public[draw.below(len(public))])] * (not keep)
+    return ".".join([*keep, *rest, *(str(1 + draw.below(254)) for _ in range(4 - len(keep) - len(rest)))])
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """Canonical surrogate of a canonical value."""
     draw = Stream(key, kind, value, str(attempt))
+    wider = attempt // ATTEMPTS_A_FORMAT
     if kind.startswith("given_") or kind == "surname":
         return name_like(value, "s" if kind == "surname" else kind[-1], draw, attempt)
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
-        return f"{like(local, draw)}@{'.'.join([like('.'.join(labels), Stream(key, 'domain', domain)), top])}"
+        return f"{like(local, draw)}{like('x' * wider, draw)}@{'.'.join([like('.'.join(labels), Stream(key, 'domain', domain)), top])}"
     if kind == "ip":
-        first, second, *_ = value.split(".")
-        keep = [first] if first in ("10", "127", "0") else [first, second] if (first, second) in (("192", "168"), ("169", "254")) or (first == "172" and 16 <= int(second) < 32) else []
-        public = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
-        rest = [str(public[draw.below(len(public))])] * (not keep)
-        return ".".join([*keep, *rest, *(str(1 + draw.below(254)) for _ in range(4 - len(keep) - len(rest)))])
+        return address_like(value, draw, wider)
     if kind == "phone":
         code = max(0, len(value) - 10)
-        return value[:code] + str(2 + draw.below(8)) + like(value[code + 1 :], draw)
+        return value[:code] + str(2 + draw.below(8)) + like(value[code + 1 :] + "0" * wider, draw)
     if kind == "card":
-        body = value[0] + like(value[1:-1], draw)
+        body = value[0] + like(value[1:-1] + "0" * wider, draw)
         return body + next(c for c in "0123456789" if luhn(body + c))
     if kind in ("aws_key", "iban"):
         fixed = 4 if kind == "aws_key" else 2
-        return value[:fixed] + like(value[fixed:], draw)
-    return like(value, draw)
+        return value[:fixed] + like(value[fixed:] + "0" * wider, draw)
+    if kind == "ssn":
+        return like(value + "0" * wider, draw)
+    return like(value, draw, SYMBOLS) + like("x" * wider, draw)
 
 
 def rendered(kind: str, original: str, canonical: str) -> str:
     """The canonical surrogate in the format of the original."""
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(canonical)
-        return "".join(next(rest, "") if c.isalnum() else c for c in original)
+        return "".join([*(next(rest, "") if c.isalnum() else c for c in original), *rest])
     if kind.startswith("given_") or kind == "surname":
         return canonical.upper() if len(original) > 1 and original.isupper() else canonical[0].upper() + canonical[1:]
     if kind == "email":
@@ -216,7 +247,7 @@ def attempts(table: DataFrame, key: bytes = KEY, make: Callable[[str, str, int,
 
     table = durable(table)
     state = durable(table.select("kind", "value", F.lit(0).alias("attempt"), made("kind", "value", F.lit(0)).alias("surrogate")))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         first = state.groupBy("kind", "surrogate").agg(F.min("value").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "surrogate", "winner")
         real = table.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         marked = skew_join(skew_join(state, first, ["kind", "surrogate"], "left"), real, ["kind", "surrogate"], "left")
@@ -226,7 +257,6 @@ def attempts(table: DataFrame, key: bytes = KEY, make: Callable[[str, str, int,
             return state
         moved = marked.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).withColumn("surrogate", made("kind", "value", "attempt"))
         state = durable(marked.where("NOT again").select("kind", "value", "attempt", "surrogate").unionByName(moved))
-    raise RuntimeError("surrogates still collide: the format has too few values for the entities of the corpus")
 
 
 def replace_column(docs: DataFrame, text_column: str = "text", key: bytes = KEY, broadcast: int = BROADCAST_EXCEPTIONS) -> DataFrame:
