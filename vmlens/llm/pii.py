@@ -52,7 +52,7 @@ PATTERNS = [
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: What any entity but a name has: saves the search of texts and lines that have none of it.
-HINT = re.compile(r"@|\d{3}|\d\.\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:" + "|".join(x for v in TITLES.values() for x in v) + r")\.? ")
+HINT = re.compile(r"@|\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:" + "|".join(x for v in TITLES.values() for x in v) + r")\.? ")
 #: A word as NAME has it, of either case.
 MENTION = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*(?!\w)")
 GENDER = {x: g for g, v in TITLES.items() for x in v}
