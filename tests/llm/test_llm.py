@@ -289,6 +289,20 @@ def test_every_pattern_implies_the_hint():
     assert pii.entities("call +45 12 34 56 78 now") == [(5, 20, "phone", "4512345678")]
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Dr Anna Maria Schmidt came", ["given_u Anna", "given_u Maria", "surname Schmidt"]), ("Herr Dr. Hans Müller, Dr. Li", ["given_m Hans", "surname Müller", "surname Li"]), ("Prof. Dr. Frau Ada Ek", ["given_f Ada", "surname Ek"]),
+        ("Mr. J. Smith and", ["given_m J.", "surname Smith"]), ("Mr J.R.R. Tolkien", ["given_m J.R.R.", "surname Tolkien"]), ("Dr Łukasz Nowak", ["given_u Łukasz", "surname Nowak"]), ("Mr Ёж Öz", ["given_m Ёж", "surname Öz"]), ("Ms Άννα Χ", ["given_f Άννα", "surname Χ"]),
+        ("Mr 王小明, 王小明", ["surname 王小明", "surname 王小明"]), ("Dr नमिता शर्मा.", ["given_u नमिता", "surname शर्मा"]), ("Mr O'Neil-Šik's", ["surname O'Neil-Šik"]), ("Mr Mu\u0308ller so", ["surname Mu\u0308ller"]), ("Sir, Dr. and the", []), ("Mr Poe Dr Fox", ["surname Poe", "surname Fox"]),
+    ],
+)
+def test_whole_names_are_found(text, names):
+    found = pii.entities(text)
+    assert [f"{k} {text[a:b]}" for a, b, k, _ in found] == names
+    assert not any(text[a:b] in pii.replaced(text, lambda k, v: 0)[0] for a, b, _, v in found if len(v) > 1)
+
+
 def test_segmentation_and_rules(make):
     costs = {(0, 6): 2.0, (6, 9): 2.0, (0, 4): 3.0}
     assert url_filter.viterbi("casinowin", costs, 12.0) == ["casino", "win"]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 from functools import cache
@@ -30,14 +31,26 @@ BROADCAST_EXCEPTIONS = 100_000
 #: Attempts in a format, before the next one has a character more (of addresses: a wider range).
 ATTEMPTS_A_FORMAT = 16
 
-#: A capitalised word of any script.
-NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
+
+
+def class_of(*categories: str) -> str:
+    """Ranges of a character class that has all characters of the categories."""
+    marked = "".join("x" if unicodedata.category(chr(i)) in categories else " " for i in range(sys.maxunicode + 1))
+    return "".join(f"{chr(m.start())}-{chr(m.end() - 1)}" for m in re.finditer("x+", marked))
+
+
+#: Upper-case letters, and those of scripts without case; all letters, and the marks that go with them.
+UPPER = class_of("Lu", "Lt", "Lo")
+LETTER = UPPER + class_of("Ll", "Lm", "Mn", "Mc")
 #: Forms of address, by the gender they tell (fixed values).
 TITLES = {
     "m": ["Mr", "Herr", "Señor", "Monsieur", "Sir"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "Lady"],
     "u": ["Dr", "Prof"],
 }
+TITLE = "|".join(x for v in TITLES.values() for x in v)
+#: A capitalised word of any script, or initials.
+NAME = rf"(?!(?:{TITLE})\b)(?:[{UPPER}]\.(?:-?[{UPPER}]\.)*|[{UPPER}][{LETTER}]*(?:[-'’](?!s\b)[{LETTER}]+)*)"
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -48,13 +61,13 @@ PATTERNS = [
     ("card", r"(?<![\d\-])[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)"),
     ("phone", r"(?<![\d\w])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"),
     ("phone_intl", r"(?<![\d\w])\+\d{1,3}(?:[ .\-]?\d{2,4}){3,5}(?!\d)"),
-    ("name", rf"\b(?P<title>{'|'.join(x for v in TITLES.values() for x in v)})\.? (?P<names>{NAME}(?: {NAME})?)"),
+    ("name", rf"\b(?P<titles>(?:{TITLE})(?:\.? (?:{TITLE}))*)\.? (?P<names>{NAME}(?: {NAME})*)"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 #: What any entity but a name has: saves the search of texts and lines that have none of it.
-HINT = re.compile(r"@|\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:" + "|".join(x for v in TITLES.values() for x in v) + r")\.? ")
+HINT = re.compile(r"@|\d{3}|\d\.\d|\+\d|[A-Z]{2}\d\d|AKIA|ASIA|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:" + TITLE + r")\.? ")
 #: A word as NAME has it, of either case.
-MENTION = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*(?!\w)")
+MENTION = re.compile(rf"(?<!\w)[{LETTER}]+(?:[-'’](?!s\b)[{LETTER}]+)*(?!\w)")
 GENDER = {x: g for g, v in TITLES.items() for x in v}
 
 
@@ -77,10 +90,13 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             continue  # a number, but no card's
         elif kind == "name":
             parts = list(re.finditer(r"\S+", m.group("names")))
-            at, gender = m.start("names"), GENDER[m.group("title")]
+            at, told = m.start("names"), [GENDER[x] for x in re.findall(r"\w+", m.group("titles"))]
+            gender = next((g for g in told if g != "u"), "u")
+            # the last word, be there initials after it or not
+            last = max((i for i, part in enumerate(parts) if not part.group().endswith(".")), default=len(parts) - 1)
             for i, part in enumerate(parts):
-                what = f"given_{gender}" if len(parts) > 1 and i == 0 else "surname"
-                found.append((at + part.start(), at + part.end(), what, part.group().casefold()))
+                what = "surname" if i == last else f"given_{gender}"
+                found.append((at + part.start(), at + part.end(), what, part.group().rstrip(".").casefold()))
         elif kind in ("phone", "phone_intl", "card", "ssn"):
             found.append((*m.span(), "phone" if kind == "phone_intl" else kind, re.sub(r"\D", "", m.group())))
         elif kind == "email":
@@ -94,7 +110,8 @@ def with_mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tup
     """The entities, and wherever a name that stands after a form of address is mentioned again without one."""
     names: dict[str, tuple[str, str]] = {}
     for a, b, kind, value in found:
-        if kind == "surname" or kind.startswith("given_"):
+        # a letter is no name that could be told from others
+        if (kind == "surname" or kind.startswith("given_")) and len(value) > 1:
             names.setdefault(text[a:b], (kind, value))
     if not names:
         return found
@@ -210,7 +227,7 @@ def rendered(kind: str, original: str, canonical: str) -> str:
         rest = iter(canonical)
         return "".join([*(next(rest, "") if c.isalnum() else c for c in original), *rest])
     if kind.startswith("given_") or kind == "surname":
-        return canonical.upper() if len(original) > 1 and original.isupper() else canonical[0].upper() + canonical[1:]
+        return canonical.upper() if len(original) > 1 and original.isupper() and "." not in original else canonical[0].upper() + canonical[1:]
     if kind == "email":
         return canonical.upper() if original.isupper() else canonical
     return canonical
