@@ -316,6 +316,14 @@ def test_segmentation_and_rules(make):
     assert url_filter.judge(pages).count() == len(rows) and url_filter.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_sizes_change_no_segmentation(make, times):
+    """A seed whose parts are frequent words stays whole, however many pages there are."""
+    html = ("track er " + "other " * 108) * times
+    pages = make([(i, "http://tracker.test/" if i < 5 else "http://other.test/", html) for i in range(400)], "page_id long, url string, html string")
+    assert {(r.page_id < 5, r.verdict) for r in url_filter.judge(pages).collect()} == {(True, "block"), (False, "allow")}
+
+
 def test_skew_join(make):
     a, b = make([(1, "x"), (None, "y")], "k long, a string"), make([(1, "z")], "k long, b string")
     assert [tuple(r) for r in skew_join(a, b, ["k"]).collect()] == [(1, "x", "z")]

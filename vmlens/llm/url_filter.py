@@ -24,7 +24,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SEEDS = ("ads", "adult", "banner", "bet", "bets", "betting", "bingo", "casino", "gambling", "jackpot", "pills", "poker", "porn", "sex", "slots", "spam", "tracker", "viagra", "xxx")
 #: Common words of host names, so that they're known whatever the pages hold.
 COMMON = ("and", "best", "blog", "buy", "cheap", "click", "deals", "farm", "free", "live", "mail", "mobile", "news", "online", "page", "shop", "site", "the", "top", "track", "video", "web", "win", "www")
-KNOWN_COUNT = 100
+#: Probabilities that known words have beside their share of the pages, and that strings have that are no word: fixed, so that sizes change nothing.
+KNOWN_SHARE, UNKNOWN_SHARE = 1e-4, 1e-5
 LONGEST = 20
 SMOOTHING = 1.0
 
@@ -55,11 +56,11 @@ def url_parts(host: Column, path: Column) -> Column:
 
 
 def word_costs(pages: DataFrame, html_column: str, known: Sequence[str]) -> DataFrame:
-    """(word, n): how often words stand in the pages' texts, and a fixed count for known ones."""
+    """(word, n, known): how often words stand in the pages' texts; known ones are there even if they don't."""
     text = F.regexp_replace(F.coalesce(F.col(html_column), F.lit("")), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(ascii_lower(text), F.lit(r"\p{L}{2,%d}" % LONGEST), 0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    extra = pages.sparkSession.createDataFrame([(w, KNOWN_COUNT) for w in sorted(set(known))], "word string, n long")
-    return words.unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"))
+    extra = pages.sparkSession.createDataFrame([(w, 0, True) for w in sorted(set(known))], "word string, n long, known boolean")
+    return words.withColumn("known", F.lit(False)).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
 
 
 def viterbi(part: str, costs: dict[tuple[int, int], float], unknown: float) -> list[str]:
@@ -89,14 +90,15 @@ def viterbi(part: str, costs: dict[tuple[int, int], float], unknown: float) -> l
 def segment(parts: DataFrame, costs: DataFrame) -> DataFrame:
     """(part, words) of distinct parts: every substring up to a length is joined to the words, so the words aren't broadcast."""
     total = costs.agg(F.sum("n")).first()[0] or 1
+    cost = -F.log(F.col("n") / float(total) + F.when(F.col("known"), KNOWN_SHARE).otherwise(0.0))
     starts = F.explode(F.sequence(F.lit(1), F.length("part"))).alias("a")
     spans = parts.select("part", starts).select("part", "a", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("part") - F.col("a") + 1))).alias("l")).where(F.col("a") + F.col("l") - 1 <= F.length("part"))
     spans = spans.withColumn("word", F.col("part").substr(F.col("a"), F.col("l")))
-    found = skew_join(spans, costs, ["word"]).groupBy("part").agg(F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") + F.col("l") - 1).alias("b"), F.log(F.lit(float(total)) / F.col("n")).alias("c"))).alias("spans"))
+    found = skew_join(spans, costs, ["word"]).groupBy("part").agg(F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") + F.col("l") - 1).alias("b"), cost.alias("c"))).alias("spans"))
 
     @F.pandas_udf("array<string>")
     def best(names: pd.Series, spans: pd.Series) -> pd.Series:
-        unknown = math.log(total / 10)
+        unknown = -math.log(UNKNOWN_SHARE)
         return pd.Series([viterbi(x, {} if s is None else {(r["a"], r["b"]): r["c"] for r in s}, unknown) for x, s in zip(names, spans)], dtype=object)
 
     return skew_join(parts, found, ["part"], "left").select("part", best("part", "spans").alias("words"))
