@@ -37,6 +37,16 @@ def test_ranges_and_aggregates(spark, make, value, tmp_path):
     check("pages",rows(A.complete_pages_in_order(make([(1,i,a) for i,a in enumerate([0,4096,8192,8192+4096,0,16384,4096])],"k int,o int,a long"),["k"],"o","a",8192)),[(1,[0,8192])])
 
 
+def test_breadth_first_of_a_long_chain(make):
+    """Deeper than 64 levels; a cycle raises."""
+    import pytest
+
+    n=make([(0,None)]+[(i,i-1) for i in range(1,71)],"id long,parent long")
+    e=make([(i-1,0,i) for i in range(1,71)],"parent long,ord int,child long")
+    check("deep",[(r.id,r.depth) for r in G.breadth_first(n,e).collect()],[(i,i) for i in range(71)])
+    with pytest.raises(ValueError): G.breadth_first(n,e.unionByName(make([(3,1,1)],"parent long,ord int,child long")))
+
+
 def test_lookups_rules_and_graph(spark, make, value, tmp_path):
     n=make([("root",None),("p1","root"),("p2","root"),("c1","p1"),("c2","p2"),("c3","p2")],"id string,parent string")
     e=make([("root",0,"p1"),("root",1,"p2"),("p1",0,"c1"),("p2",0,"c2"),("p2",1,"c3"),("p2",2,"zz")],"parent string,ord int,child string")

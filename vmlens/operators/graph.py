@@ -6,20 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def breadth_first(nodes: DataFrame, edges: DataFrame, max_depth: int = 64, reverse: bool = False) -> DataFrame:
+#: Levels between checkpoints.
+LEVELS = 4
+
+
+def breadth_first(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
     """Nodes that their roots reach, in breadth-first order: id, depth, path.
 
     nodes: id, parent; edges: parent, ord, child. Roots have no parent and come by id; children come in list order; edges to
-    no node are skipped. One join a level, and no row is collected; depth is bounded because a cycle would never end."""
+    no node are skipped. One join a level, and no row is collected. It goes on until a level is empty, or to a depth that is
+    asked for; every few levels are checkpointed, and a cycle among them raises."""
     known = nodes.select("id")
     step = edges.join(known.withColumnRenamed("id", "child"), "child", "left_semi").select(F.col("parent").alias("id"), "ord", "child")
     level = nodes.where("parent IS NULL").select("id", F.lit(0).alias("depth"), F.array(F.col("id").cast("string")).alias("path"), F.array().cast("array<bigint>").alias("ords"), F.col("id").alias("root"))
-    out = level
-    for depth in range(1, max_depth + 1):
+    out, block, depth = None, level, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         level = level.join(step, "id").select(F.col("child").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array(F.col("child").cast("string"))).alias("path"), F.concat("ords", F.array(F.col("ord").cast("bigint"))).alias("ords"), "root")
-        out = out.unionByName(level)
-        if depth < max_depth and depth % 4 == 0 and level.isEmpty():
-            break
+        block = block.unionByName(level)
+        if depth % LEVELS == 0:
+            block = block.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else block.localCheckpoint()
+            out = block if out is None else out.unionByName(block)
+            level = block.where(F.col("depth") == depth)
+            if not block.where(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():
+                raise ValueError("the nodes have a cycle")
+            block = level.limit(0)
+            if level.isEmpty():
+                break
+    out = block if out is None else out.unionByName(block)
     order = ["depth", "root", "ords"]
     out = out.orderBy(*(F.col(c).desc() if reverse else F.col(c) for c in order))
     return out.select("id", "depth", "path")
