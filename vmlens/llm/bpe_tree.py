@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .borders import BORDER, COMMON, PIECE, PieceCache, left_border, right_border
-from .common import process_cache, small_batches
+from .common import process_cache, slices
 
 LEAF_CHARS = 2048
 LEAF_BYTES = 256
@@ -160,11 +160,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
     Null and empty texts have no ids and decode to zero bytes. Rows aren't compared, so repeated rows, ties and null ids
     stay as they are; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-
     def both(batches):
         codec = TreeCodec.load(path, pattern)
-        for rows in batches:
+        for rows in slices(batches):
             ids = [codec.encode(x) for x in rows["text"]]
             yield pd.DataFrame({"id": rows["id"], "ids": pd.Series(ids, dtype=object), "decoded": pd.Series([codec.decode(x) for x in ids], dtype=object)})
 

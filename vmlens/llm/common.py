@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in an Arrow batch: bounds a Python worker's memory when texts are long.
+#: Rows of texts that are worked on at a time, where results are about as large as texts. (Arrow batches are bounded in
+#: bytes by the session, spark.sql.execution.arrow.maxBytesPerBatch.)
 BATCH_ROWS = 400
+#: Bytes up to which a table in fewer pieces than there are cores is dealt out to all of them.
+SMALL_TABLE = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table. Small ones, which may be a single row group, are dealt to all cores: a shuffle of at most SMALL_TABLE bytes."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size <= SMALL_TABLE and table.rdd.getNumPartitions() <= cores else table
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches, rows: int = BATCH_ROWS):
+    """pandas batches cut into pieces of at most so many rows: what is made from a piece of texts is handed on before the next."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows].reset_index(drop=True)
 
 
 def process_cache() -> dict:
@@ -35,17 +46,52 @@ def process_cache() -> dict:
     return sys.modules[name].__dict__
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors see. Only a session of one machine may do without the setting."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vmlens-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute `df` once and keep it in the shared checkpoint folder: lineage is cut and lost executors cost nothing.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a local one is made.
+    The files are removed as the session says (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vmlens-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder, removed when the driver ends if it's still there then."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    files, path = _file_system(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """`df` written as Parquet in the shared folder: like durable(), but compressed, and later reads take only their columns."""
+    folder = f"{new_folder(df.sparkSession, name)}/table"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def words_of(text: Column) -> Column:
     """Array of words; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

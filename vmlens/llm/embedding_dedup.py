@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, merge_labels, skew_join
+from .common import components, durable, merge_labels, skew_join, slices
 
 THRESHOLD = 0.9
 #: Rows of a piece; a block is compared piece by piece and has at least as many rows.
@@ -30,6 +30,8 @@ BOX_DIMS = 8
 #: Room for single precision in the bounds.
 SLACK = 1e-4
 PAIRS = 200_000
+#: Rows dealt to tiles at a time.
+DEAL_ROWS = 4096
 
 
 def usable(column: str) -> Column:
@@ -171,7 +173,7 @@ def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column
     limit = reach(threshold)
 
     def deal(batches):
-        for pdf in batches:
+        for pdf in slices(batches, DEAL_ROWS):
             r = np.stack(pdf["r"].to_numpy())
             own = pdf["bin"].map(position).to_numpy()
             home = first[own] + (pdf["cid"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[own]
@@ -197,7 +199,6 @@ def link_embeddings(vectors: DataFrame, id_column: str = "vec_id", vector_column
         some = links > 0
         return pd.DataFrame({"cid": cid[some], "links": links[some].astype(np.int64), "root": least[label][some]})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
     dealt = placed.mapInPandas(deal, f"i long, j long, home long, cid long, n long, v {kind}")
     found = durable(dealt.groupBy("i", "j").applyInPandas(compare, "cid long, links long, root long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, merge_labels, skew_join, small_batches
+from .common import components, durable, merge_labels, skew_join
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that a tile has at most, about, on either side.
@@ -25,8 +25,8 @@ TILE = 1024
 BUCKET = 2048
 #: Ids up to which the rows that go are sent to every task; beyond, the rows that stay are joined.
 BROADCAST_IDS = 500_000
-#: Words of 64 fingerprints compared at a time.
-STEP = 8192
+#: Words of 64 fingerprints compared at a time, and those whose tiles are taken together.
+STEP, WORK = 8192, 1 << 20
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -172,19 +172,27 @@ def link_forest(distinct: DataFrame, column: str = "fp", radius: int = RADIUS, b
     )
 
     def compare(batches):
+        pairs, work = [], 0
         for pdf in batches:
-            pairs = [(np.asarray(a, dtype="<i8").view("<u8"), np.asarray(b, dtype="<i8").view("<u8")) for a, b, i, j in zip(pdf["a"], pdf["b"], pdf["i"], pdf["j"]) if (len(a) and len(b)) or (i == j and len(a) > 1)]
-            if pairs:
-                edges = forest_of_tiles(pairs, radius)
-                yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+            for a, b, i, j in zip(pdf["a"], pdf["b"], pdf["i"], pdf["j"]):
+                if (len(a) and len(b)) or (i == j and len(a) > 1):
+                    pairs.append((np.asarray(a, dtype="<i8").view("<u8"), np.asarray(b, dtype="<i8").view("<u8")))
+                    work += len(a) * (-(-(len(b) or len(a)) // 64))
+                if work >= WORK:
+                    yield edges_of(pairs)
+                    pairs, work = [], 0
+        if pairs:
+            yield edges_of(pairs)
+
+    def edges_of(pairs):
+        edges = forest_of_tiles(pairs, radius)
+        return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
-    small_batches(distinct.sparkSession)
     return tiles.select("a", "b", "i", "j").mapInPandas(compare, "a long, b long")
 
 
 def classed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, root, component_id): the fingerprint, the smallest fingerprint of its component, and near_duplicates' id."""
-    small_batches(docs.sparkSession)
     prints = durable(docs.select(F.col(id_column).alias("doc_id"), fingerprint_column(F.col(text_column), shingle, seed).alias("fp")))
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link_forest(distinct, "fp", radius, blocks, tile)).withColumnRenamed("node", "fp")
