@@ -1,10 +1,13 @@
 """URL filters: rules for hosts and paths, and for the rest host word segmentation with multinomial naive Bayes.
 
 Host labels and path parts are split into words by a unigram model (Viterbi over all segmentations; strings that are no
-known word cost more the longer they are). The words' frequencies come from the pages themselves. Naive Bayes over the
-segmented words is trained by weak supervision: pages that have a seed word in their host or path are the blocked class,
-all others the allowed one; so words that go with the seeds count too. Work is done on distinct hosts and parts; what
-belongs to pages is counted before it's shuffled.
+known word cost more the longer they are). The words' frequencies come from the pages themselves.
+
+No table says which urls are bad, so naive Bayes over the segmented words is trained by expectation maximisation: pages with
+a seed word are examples of the blocked class, and every other page belongs to both classes as far as the model of the
+round before says. So words that go with seeds come to count, and pages that have only these are blocked. The verdict is
+the last model's, which doesn't know the seeds: a seed among words of allowed pages doesn't block. Work is done on distinct
+hosts and parts, under numbers, as they may be long; what belongs to pages is counted before it's shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ COMMON = ("and", "best", "blog", "buy", "cheap", "click", "deals", "farm", "free
 KNOWN_SHARE, UNKNOWN_SHARE = 1e-4, 1e-5
 LONGEST = 20
 SMOOTHING = 1.0
+#: Rounds of expectation maximisation after the one in which all other pages are allowed.
+ROUNDS = 4
+#: Words up to which their odds are sent to every task (they have LONGEST letters at most, or are one unknown string).
+BROADCAST_BYTES = 4 << 20
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -88,52 +95,70 @@ def viterbi(part: str, costs: dict[tuple[int, int], float], unknown: float) -> l
 
 
 def segment(parts: DataFrame, costs: DataFrame) -> DataFrame:
-    """(part, words) of distinct parts: every substring up to a length is joined to the words, so the words aren't broadcast."""
+    """(id, part, words) of distinct parts: every substring up to a length is joined to the words, so the words aren't broadcast."""
     total = costs.agg(F.sum("n")).first()[0] or 1
     cost = -F.log(F.col("n") / float(total) + F.when(F.col("known"), KNOWN_SHARE).otherwise(0.0))
+    parts = durable(parts.withColumn("id", F.monotonically_increasing_id()))
     starts = F.explode(F.sequence(F.lit(1), F.length("part"))).alias("a")
-    spans = parts.select("part", starts).select("part", "a", F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("part") - F.col("a") + 1))).alias("l")).where(F.col("a") + F.col("l") - 1 <= F.length("part"))
-    spans = spans.withColumn("word", F.col("part").substr(F.col("a"), F.col("l")))
-    found = skew_join(spans, costs, ["word"]).groupBy("part").agg(F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") + F.col("l") - 1).alias("b"), cost.alias("c"))).alias("spans"))
+    ahead = F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("rest")))).alias("l")
+    spans = parts.select("id", "part", starts).select("id", "a", F.col("part").substr(F.col("a"), F.lit(LONGEST)).alias("rest")).where(F.length("rest") > 1)
+    spans = spans.select("id", "a", "rest", ahead).select("id", "a", "l", F.substring("rest", F.lit(1), F.col("l")).alias("word"))
+    hits = F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") + F.col("l") - 1).alias("b"), cost.alias("c")))
+    found = skew_join(spans, costs, ["word"]).groupBy("id").agg(hits.alias("spans"))
 
     @F.pandas_udf("array<string>")
     def best(names: pd.Series, spans: pd.Series) -> pd.Series:
         unknown = -math.log(UNKNOWN_SHARE)
         return pd.Series([viterbi(x, {} if s is None else {(r["a"], r["b"]): r["c"] for r in s}, unknown) for x, s in zip(names, spans)], dtype=object)
 
-    return skew_join(parts, found, ["part"], "left").select("part", best("part", "spans").alias("words"))
+    return skew_join(parts, found, ["id"], "left").select("id", "part", best("part", "spans").alias("words"))
+
+
+def word_odds(tokens: DataFrame, shares: DataFrame) -> tuple[DataFrame, float]:
+    """M step: (word, o) log-odds of each word, and of a page without words. tokens: bag, n, word, k; shares: bag, n, p."""
+    blocked, pages = shares.agg(F.sum(F.col("n") * F.col("p")), F.sum("n")).first()
+    by_word = skew_join(tokens, shares.select("bag", "p"), ["bag"]).groupBy("word").agg(F.sum(F.col("k") * F.col("n") * F.col("p")).alias("b"), F.sum(F.col("k") * F.col("n") * (1 - F.col("p"))).alias("a"))
+    by_word = durable(by_word)
+    size, b, a = (x or 0 for x in by_word.agg(F.count(F.lit(1)), F.sum("b"), F.sum("a")).first())
+    share = lambda column, total: F.log((F.col(column) + SMOOTHING) / (total + SMOOTHING * (size + 1)))
+    return by_word.select("word", (share("b", b) - share("a", a)).alias("o")), math.log(((blocked or 0) + 1) / ((pages or 0) - (blocked or 0) + 1))
+
+
+def bag_odds(tokens: DataFrame, odds: DataFrame, prior: float) -> DataFrame:
+    """E step: (bag, n, log_odds, p)."""
+    size = odds.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    joined = tokens.join(F.broadcast(odds), "word") if size <= BROADCAST_BYTES else skew_join(tokens, odds, ["word"])
+    scores = joined.groupBy("bag", "n").agg(F.round(F.sum(F.col("k") * F.col("o")) + prior, 9).alias("log_odds"))
+    return scores.withColumn("p", 1 / (1 + F.exp(-F.col("log_odds"))))
+
+
+def learn(tokens: DataFrame, seeds: Sequence[str] = SEEDS, rounds: int = ROUNDS) -> DataFrame:
+    """(bag, n, log_odds, p) of all bags by the last model. tokens: bag, its pages n, word, and how often (k) the bag has it."""
+    seeded = F.max(F.col("word").isin(*seeds).cast("double"))
+    shares = marks = durable(tokens.groupBy("bag", "n").agg(seeded.alias("p")))
+    for k in range(rounds + 1):
+        if k:
+            shares = skew_join(scores.select("bag", "n", F.col("p").alias("q")), marks.select("bag", "p"), ["bag"]).withColumn("p", F.greatest("p", "q"))
+        scores = durable(bag_odds(tokens, *word_odds(tokens, durable(shares))))
+    return scores
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds: Sequence[str] = SEEDS, known: Sequence[str] = (*SEEDS, *COMMON), rounds: int = ROUNDS, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row per row of `pages`: page_id, host, path, rule, verdict, log_odds (of blocking, by the method; null if no words).
 
     Null urls and those without :// have empty host and path, and without a rule are allowed, as is every url without
     words. Repeated rows and ties are judged alike; null html has no words. Columns of other names aren't read; an empty
-    table gives an empty result.
+    table gives an empty result. Urls of any length are segmented whole.
     """
     host, path = split_url(F.col(url_column))
     rows = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("parts", url_parts(F.col("host"), F.col("path"))).withColumn("bag", F.array_join("parts", " "))
-    bags = durable(rows.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("bag <> ''"))
-    parts = durable(bags.select(F.explode(F.split("bag", " ")).alias("part")).distinct())
-    costs = word_costs(pages, html_column, [*seeds, *COMMON])
-    words = durable(segment(parts, durable(costs)))
-    split_bags = bags.select("bag", "n", F.explode(F.split("bag", " ")).alias("part"))
-    tokens = skew_join(split_bags, words, ["part"]).select("bag", "n", F.explode("words").alias("word"))
-    seeded = F.max(F.col("word").isin(*seeds))
-    marks = tokens.groupBy("bag").agg(seeded.alias("blocked"))
-    tokens = durable(tokens)
-    marks = durable(skew_join(bags, marks, ["bag"]))
-    blocked_pages, all_pages = marks.agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)), F.sum("n")).first()
-    by_class = skew_join(tokens, marks.select("bag", "blocked"), ["bag"]).groupBy("word").agg(
-        F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("in_blocked"), F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("n"))).alias("in_allowed")
-    )
-    by_class = durable(by_class)
-    size, blocked_words, allowed_words = (x or 0 for x in by_class.agg(F.count(F.lit(1)), F.sum("in_blocked"), F.sum("in_allowed")).first())
-    odds = F.log((F.col("in_blocked") + SMOOTHING) / (blocked_words + SMOOTHING * (size + 1))) - F.log((F.col("in_allowed") + SMOOTHING) / (allowed_words + SMOOTHING * (size + 1)))
-    prior = math.log(((blocked_pages or 0) + 1) / ((all_pages or 0) - (blocked_pages or 0) + 1))
-    scores = skew_join(tokens, by_class.select("word", odds.alias("o")), ["word"]).groupBy("bag").agg((F.sum("o") + prior).alias("log_odds"))
-    rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).drop("parts")
-    out = skew_join(rows, durable(scores), ["bag"], "left")
+    rows = rows.withColumn("bag", F.array_join(url_parts(F.col("host"), F.col("path")), " "))
+    bags = rows.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("bag <> ''").withColumnRenamed("bag", "text")
+    bags = durable(bags.withColumn("bag", F.monotonically_increasing_id()))
+    split_bags = bags.select("bag", "n", F.explode(F.split("text", " ")).alias("part"))
+    words = durable(segment(split_bags.select("part").distinct(), durable(word_costs(pages, html_column, [*known, *seeds]))))
+    tokens = skew_join(split_bags, words, ["part"]).select("bag", "n", F.explode("words").alias("word")).groupBy("bag", "n", "word").agg(F.count(F.lit(1)).alias("k"))
+    scores = skew_join(bags.select("bag", "text"), learn(durable(tokens), seeds, rounds).select("bag", "log_odds"), ["bag"]).select(F.col("text").alias("bag"), "log_odds")
+    out = skew_join(rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)), scores, ["bag"], "left")
     verdict = F.coalesce("best.action", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "log_odds")
