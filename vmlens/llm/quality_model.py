@@ -3,8 +3,9 @@
 A logistic model over measurements of the text gives every document its evidence. Hosts and, within them, paths have
 posteriors of the quality rate: the mean probability of their documents, shrunk towards the global rate (host) or the
 host's posterior (path) by a prior strength estimated from the spread between groups. A document's final log-odds are
-its own plus what its path's posterior adds to the global rate, so sparse sites are judged by their texts and the global
-prior, and large ones also by what they usually hold.
+its own plus what its path's posterior adds to the global rate. The posteriors that a document meets are those of the
+other documents: its own evidence counts once. So sparse sites are judged by their texts and the global prior, a lone
+document of a host by its text alone, and documents of large sites also by what these usually hold.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, skew_join, small_batches
+from .common import durable, skew_join
 
 #: Bound of the training sample, in labelled documents.
 MAX_LABELLED = 12000
@@ -85,11 +86,16 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> M
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit to a bounded sample of labelled rows, drawn by hash; ids with null or contradicting labels are left out."""
-    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("i"), F.col(label_column).alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("hi")).where("y = hi").select("i", "y").orderBy(F.xxhash64("i")).limit(max_labelled)
-    measured = F.udf(lambda t: list(map(float, measurements(t))), "array<double>")
-    rows = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).join(F.broadcast(known), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("y", measured("t")).collect()
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, measurements(x))) for x in texts], dtype=object)
+
+    # one document for each id, should ids be repeated: that of the least measurements
+    rows = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).join(F.broadcast(known), "i").select("i", "y", measured("t").alias("m"))
+    rows = sorted(rows.groupBy("i", "y").agg(F.min("m").alias("m")).select("y", "m").collect())
     return fit(np.array([r[1] for r in rows]).reshape(len(rows), len(measurements(""))), np.array([r[0] for r in rows], dtype=float))
 
 
@@ -103,7 +109,7 @@ def evidence_column(text: Column, model: Model) -> Column:
     return evidence(text)
 
 
-def _strength(groups: DataFrame, mean: Column) -> Column:
+def _strength(mean: Column) -> Column:
     """Beta prior strength by moments: between-group variance of the means beyond what their sizes explain."""
     rate = F.col("s") / F.col("n")
     spread = F.sum(F.col("n") * F.pow(rate - mean, 2)) / F.sum("n")
@@ -128,15 +134,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
     model = train(docs, labels, id_column, text_column)
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     rows = durable(docs.select(F.col(id_column).alias("doc_id"), named(host_column).alias("host"), named(path_column).alias("path"), evidence_column(F.col(text_column), model).alias("evidence")))
-    paths = durable(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 + F.exp(-F.col("evidence")))).alias("s")))
+    return posteriors(rows, keep)
+
+
+def posteriors(rows: DataFrame, keep: float = KEEP) -> DataFrame:
+    """doc_id, evidence, host_rate, path_rate, score and kept of rows (doc_id, host, path, evidence), whose host and path aren't null."""
+    paths = durable(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(_probability()).alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
     mean = s / n if n else 0.5
-    strength = hosts.agg(_strength(hosts, F.lit(mean))).first()[0] or STRENGTH[0]
-    hosts = hosts.select("host", ((F.col("s") + strength * mean) / (F.col("n") + strength)).alias("host_rate"))
-    paths = durable(skew_join(paths, hosts, ["host"]))
-    strength = paths.agg(_strength(paths, F.col("host_rate"))).first()[0] or STRENGTH[0]
-    paths = paths.select("host", "path", "host_rate", ((F.col("s") + F.lit(strength) * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate"))
+    of_hosts = hosts.agg(_strength(F.lit(mean))).first()[0] or STRENGTH[0]
+    rate = lambda n, s, strength, prior: (s + strength * prior) / (n + strength)
+    paths = skew_join(paths, hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), ["host"])
+    paths = durable(paths.withColumn("whole_rate", rate(F.col("host_n"), F.col("host_s"), F.lit(of_hosts), F.lit(mean))))
+    of_paths = paths.agg(_strength(F.col("whole_rate"))).first()[0] or STRENGTH[0]
+    out = skew_join(rows, paths.drop("whole_rate"), ["host", "path"]).withColumn("p", _probability())
+    out = out.withColumn("host_rate", rate(F.col("host_n") - 1, F.col("host_s") - F.col("p"), F.lit(of_hosts), F.lit(mean)))
+    out = out.withColumn("path_rate", rate(F.col("n") - 1, F.col("s") - F.col("p"), F.lit(of_paths), F.col("host_rate")))
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(mean))
-    out = skew_join(rows, paths, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-odds)))
+    out = out.withColumn("score", 1 / (1 + F.exp(-odds)))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= keep).alias("kept"))
+
+
+def _probability() -> Column:
+    return 1 / (1 + F.exp(-F.col("evidence")))
