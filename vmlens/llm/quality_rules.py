@@ -133,7 +133,9 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_r
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN covered USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
+  CAST(CAST(n_words < 10 AS INT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS INT) + 4 * CAST(word_chars < 2 * n_words AS INT)
+    + 8 * CAST(word_chars > 20 * n_words AS INT) + 16 * CAST(10 * n_symbols > n_words AS INT) + 32 * CAST(10 * n_dup_lines > 3 * n_lines AS INT) AS BIGINT) AS failures,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept

@@ -42,12 +42,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
-    measured = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    measured = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failures")
     return book.select(*measured, (~quality_rules.apply_policy(book, "base")).alias("base_failed"), quality_rules.apply_policy(book, "v1").alias("kept"))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
