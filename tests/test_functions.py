@@ -97,3 +97,49 @@ def test_log_template_errors():
     for template in ("{a", "a}", "{b}"):
         with pytest.raises(ValueError):
             T.log_line(template, {"a": L(1)})
+
+
+def test_typed_sections(spark):
+    from vmlens.functions import options as O
+
+    def typed(section, text):
+        return spark.createDataFrame([(text,)], "t string").select(O.typed_section(section, F.col("t")).alias("o")).first().o.asDict(recursive=True)
+
+    def given(section, text):
+        return {k: v for k, v in typed(section, text).items() if v is not None and v is not False}
+
+    assert given("cpus", "boot=2,max=4,features=[a,b],affinity=[0@[1,2]],nested=on") == {"boot": 2, "max": 4, "features": ["a", "b"], "affinity": [{"key": "0", "value": "[1,2]"}], "nested": True}
+    assert given("memory", "size=512M,hotplug_size=1G,shared=on,thp=off") == {"size": 512 << 20, "hotplug_size": 1 << 30, "shared": True}
+    assert given("net", 'tap="t,0",mac=aa:bb:cc:dd:ee:ff,fd=[3,5-7],bw_size=10,iommu=on') == {"tap": "t,0", "mac": "aa:bb:cc:dd:ee:ff", "fd": [3, 5, 6, 7], "bw_size": 10, "iommu": True}
+    assert given("console", "pty,file=/x") == {"pty": True, "file": "/x"}
+    assert given("numa", "guest_numa_id=1,distances=[0@20,1@10],memory_zones=[m0,m1]") == {"guest_numa_id": 1, "distances": [{"key": "0", "value": "20"}, {"key": "1", "value": "10"}], "memory_zones": ["m0", "m1"]}
+    assert given("balloon", "size=x,deflate_on_oom=maybe,pci_segment=1") == {"pci_segment": 1, "problem": "size,deflate_on_oom"}
+    assert given("tpm", "nothing=1") == given("tpm", "socket") == {"problem": "syntax"}
+    assert all(typed(x, "") is not None for x in O.SECTIONS) and len(O.SECTIONS) == 28
+
+
+def test_crc32c_against_bit_by_bit(spark):
+    import random
+
+    from vmlens.functions.numbers import Crc32c
+
+    def slow(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rng, one = random.Random(1), Crc32c()
+    assert one(b"123456789") == 0xE3069283
+    for n in [*range(40), 63, 64, 65, 255, 1000, 4097]:
+        data = rng.randbytes(n)
+        assert one(data) == slow(data)
+
+
+def test_permutation_is_no_sorting(spark):
+    from vmlens.operators.sequences import permutation
+
+    got = [r.id for r in permutation(spark.range(100), "id").collect()]
+    assert got == [r.id for r in permutation(spark.range(100), "id").collect()] and sorted(got) == list(range(100)) != got

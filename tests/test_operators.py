@@ -1,7 +1,6 @@
 import json
 
 from pyspark.sql import functions as F
-
 from tests.conftest import rows
 from vmlens.operators import aggregates as A
 from vmlens.operators import graph as G
@@ -9,32 +8,63 @@ from vmlens.operators import lookups as J
 from vmlens.operators import ranges as R
 from vmlens.operators import rules as V
 from vmlens.operators import sequences as S
-
 L = F.lit
 
 
-def check(name, got, want):
+def same(got, want):
     if isinstance(got, list) and got and isinstance(got[0], tuple):
         got, want = sorted(got, key=repr), sorted(want, key=repr)
-    assert got == want, name
-
-
-def test_ranges_and_aggregates(spark, make, value, tmp_path):
-    b=make([(1,0x1000,0x1000,[0b111111101110,0b10000])],"r int, s long, p long, w array<long>")
-    check("W1",rows(R.bitmap_ranges(b,["r"],"w","s","p")),sorted([(1,0x2000,3*4096),(1,0x6000,7*4096),(1,0x1000+68*4096,4096)]))
-    c=make([(1,0,0,3)],"r int, o int, gpa long, length long")
-    check("W5",rows(R.chunks(c,["r"],["o"],"gpa","length",2)),[(1,0,1,2),(1,1,0,1)])
-    m=make([(1,0x1000,0x4000,0x1000),(1,0x2000,0x5000,0x1000),(1,0x3000,0x9000,0x1000)],"d int, iova long, gpa long, size long")
-    q=make([(1,1,0x1200,0x100),(1,2,0x1f00,0x200),(1,3,0x2f00,0x200),(1,4,0x100,1),(1,5,0x1000,0)],"d int, id int, addr long, size long")
-    for w in (None,0x800): check("J4",[(r.id,r.translated) for r in R.translate(q,m,["d"],width=w).orderBy("id").collect()],[(1,0x4200),(2,0x4f00),(3,None),(4,None),(5,None)])
-    check("J5",[(r.id,r.translated) for r in R.translate_back(make([(1,1,0x4200,0x10),(1,2,0x4f00,0x200)],"d int,id int,addr long,size long"),m,["d"]).orderBy("id").collect()],[(1,0x1200),(2,None)])
-    check("A7",rows(A.cumulative_average(make([(1,1,10),(1,2,3),(1,3,8)],"k int,o int,v long"),["k"],"o","v")),[(1,7)])
-    check("U7",rows(R.complement(make([(1,0,100)],"k int,s long,l long"),make([(1,10,5),(1,12,10),(1,90,30)],"k int,s long,l long"),["k"],"s","l")),[(1,0,10),(1,22,68)])
-    check("J3",rows(R.overlaps(make([(1,5,10)],"k int,s long,l long"),make([(1,0,6),(1,15,3),(1,14,1)],"k int,s long,l long"),["k"],"s","l",4)),[(1,5,10,0,6),(1,5,10,14,1)])
-    check("bench",rows(A.benchmark_summary(make([("a",0,9.0),("a",1,1.0),("a",2,3.0),("b",1,None)],"n string,i int,v double"),["n"],"i","v",1)),[("a",2.0,1.0,3.0,1.0,"PASSED"),("b",0.0,0.0,0.0,0.0,"FAILED")])
-    check("split",rows(R.weighted_split(1000,10,make([(0,1),(1,2),(2,1)],"o int,w int"),"o","w")),[(0,1,0,250),(1,2,250,500),(2,1,750,250)])
-    check("ctr",rows(A.request_counters(make([("d","read",10,5,0),("d","read",20,7,0),("d","write",1,1,-1)],"device_id string,direction string,bytes long,latency_us long,result int"),["device_id"])),sorted([("d","read_bytes",30),("d","read_ops",2),("d","read_latency_min",5),("d","read_latency_max",7),("d","read_latency_avg",6),("d","write_bytes",0),("d","write_ops",0)]))
-    check("pages",rows(A.complete_pages_in_order(make([(1,i,a) for i,a in enumerate([0,4096,8192,8192+4096,0,16384,4096])],"k int,o int,a long"),["k"],"o","a",8192)),[(1,[0,8192])])
+    assert got == want
+
+
+def test_w1(make):
+    b = make([(1, 4096, 4096, [4078, 16])], 'r int, s long, p long, w array<long>')
+    same(rows(R.bitmap_ranges(b, ['r'], 'w', 's', 'p')), sorted([(1, 8192, 3 * 4096), (1, 24576, 7 * 4096), (1, 4096 + 68 * 4096, 4096)]))
+
+
+def test_w5(make):
+    c = make([(1, 0, 0, 3)], 'r int, o int, gpa long, length long')
+    same(rows(R.chunks(c, ['r'], ['o'], 'gpa', 'length', 2)), [(1, 0, 1, 2), (1, 1, 0, 1)])
+
+
+def test_j4(make):
+    m = make([(1, 4096, 16384, 4096), (1, 8192, 20480, 4096), (1, 12288, 36864, 4096)], 'd int, iova long, gpa long, size long')
+    q = make([(1, 1, 4608, 256), (1, 2, 7936, 512), (1, 3, 12032, 512), (1, 4, 256, 1), (1, 5, 4096, 0)], 'd int, id int, addr long, size long')
+    for w in (None, 2048):
+        same([(r.id, r.translated) for r in R.translate(q, m, ['d'], width=w).orderBy('id').collect()], [(1, 16896), (2, 20224), (3, None), (4, None), (5, None)])
+
+
+def test_j5(make):
+    m = make([(1, 4096, 16384, 4096), (1, 8192, 20480, 4096), (1, 12288, 36864, 4096)], 'd int, iova long, gpa long, size long')
+    same([(r.id, r.translated) for r in R.translate_back(make([(1, 1, 16896, 16), (1, 2, 20224, 512)], 'd int,id int,addr long,size long'), m, ['d']).orderBy('id').collect()], [(1, 4608), (2, None)])
+
+
+def test_a7(make):
+    same(rows(A.cumulative_average(make([(1, 1, 10), (1, 2, 3), (1, 3, 8)], 'k int,o int,v long'), ['k'], ['o'], 'v')), [(1, 7)])
+
+
+def test_u7(make):
+    same(rows(R.complement(make([(1, 0, 100)], 'k int,s long,l long'), make([(1, 10, 5), (1, 12, 10), (1, 90, 30)], 'k int,s long,l long'), ['k'], 's', 'l')), [(1, 0, 10), (1, 22, 68)])
+
+
+def test_j3(make):
+    same(rows(R.overlaps(make([(1, 5, 10)], 'k int,s long,l long'), make([(1, 0, 6), (1, 15, 3), (1, 14, 1)], 'k int,s long,l long'), ['k'], 's', 'l', 4)), [(1, 5, 10, 0, 6), (1, 5, 10, 14, 1)])
+
+
+def test_bench(make):
+    same(rows(A.benchmark_summary(make([('a', 0, 9.0), ('a', 1, 1.0), ('a', 2, 3.0), ('b', 1, None)], 'n string,i int,v double'), ['n'], 'i', 'v', 1)), [('a', 2.0, 1.0, 3.0, 1.0, 'PASSED'), ('b', 0.0, 0.0, 0.0, 0.0, 'FAILED')])
+
+
+def test_split(make):
+    same(rows(R.weighted_split(1000, 10, make([(0, 1), (1, 2), (2, 1)], 'o int,w int'), 'o', 'w')), [(0, 1, 0, 250), (1, 2, 250, 500), (2, 1, 750, 250)])
+
+
+def test_ctr(make):
+    same(rows(A.request_counters(make([('d', 'read', 10, 5, 0), ('d', 'read', 20, 7, 0), ('d', 'write', 1, 1, -1)], 'device_id string,direction string,bytes long,latency_us long,result int'), ['device_id'], ['bytes'])), sorted([('d', 'read_bytes', 30), ('d', 'read_ops', 2), ('d', 'read_latency_min', 5), ('d', 'read_latency_max', 7), ('d', 'read_latency_avg', 6), ('d', 'write_bytes', 0), ('d', 'write_ops', 0)]))
+
+
+def test_pages(make):
+    same(rows(A.complete_pages_in_order(make([(1, i, a) for i, a in enumerate([0, 4096, 8192, 8192 + 4096, 0, 16384, 4096])], 'k int,o int,a long'), ['k'], ['o'], 'a', 8192)), [(1, 0), (1, 8192)])
 
 
 def test_breadth_first_of_a_long_chain(make):
@@ -43,22 +73,57 @@ def test_breadth_first_of_a_long_chain(make):
 
     n=make([(0,None)]+[(i,i-1) for i in range(1,71)],"id long,parent long")
     e=make([(i-1,0,i) for i in range(1,71)],"parent long,ord int,child long")
-    check("deep",[(r.id,r.depth) for r in G.breadth_first(n,e).collect()],[(i,i) for i in range(71)])
+    same([(r.id,r.depth) for r in G.breadth_first(n,e).collect()],[(i,i) for i in range(71)])
     with pytest.raises(ValueError): G.breadth_first(n,e.unionByName(make([(3,1,1)],"parent long,ord int,child long")))
 
 
-def test_lookups_rules_and_graph(spark, make, value, tmp_path):
-    n=make([("root",None),("p1","root"),("p2","root"),("c1","p1"),("c2","p2"),("c3","p2")],"id string,parent string")
-    e=make([("root",0,"p1"),("root",1,"p2"),("p1",0,"c1"),("p2",0,"c2"),("p2",1,"c3"),("p2",2,"zz")],"parent string,ord int,child string")
-    check("bfs",[r.id for r in G.breadth_first(n,e,8).collect()],"root p1 p2 c1 c2 c3".split())
-    check("bfs rev",[r.id for r in G.breadth_first(n,e,8,True).collect()],"c3 c2 c1 p2 p1 root".split())
-    check("depth",rows(S.span_depths(make([(1,1,0,100),(1,2,10,50),(1,3,10,20),(1,4,50,60),(1,5,0,100)],"t int,id int,s long,e long"),["t"],"s","e","id").select("id","depth")),[(1,0),(2,2),(3,3),(4,2),(5,1)])
-    check("W8",rows(S.subsequence_match(make([(1,1,"a","x"),(1,2,"b","y"),(1,3,"c","z"),(2,1,"b","y"),(2,2,"a","x")],"k int,o int,e string,i string"),["k"],"o","e",[("a",None),("c","z")],"i")),[(1,True,2),(2,False,1)])
-    check("trans",rows(V.transitions(make([("v",1,"Created"),("v",2,"Running"),("v",3,"Created")],"vm string,o int,s string"),["vm"],"o","s")),[("transitions","v/3","Running->Created")])
-    check("layers",rows(J.resolve_layers(make([(1,),(2,),(3,)],"cluster long"),make([(0,1,"empty",0),(1,1,"standard",77),(0,2,"zero",0)],"layer int,cluster long,kind string,address long"),1)),[(1,1,"standard",77),(2,0,"zero",0),(3,None,"hole",None)])
-    check("iommu",[(r.id,r.translated,r.problem) for r in J.resolve_endpoints(make([(1,1,0x1200,16),(2,2,5,1),(3,3,5,1),(4,9,5,1),(5,1,5,1)],"id int,endpoint int,addr long,size long"),make([(1,1),(2,2),(3,7)],"endpoint int,domain int"),make([(1,False),(2,True)],"domain int,bypass boolean"),make([(1,0x1000,0x4000,0x1000)],"domain int,iova long,gpa long,size long"),False).orderBy("id").collect()],[(1,0x4200,None),(2,5,None),(3,None,"unknown domain"),(4,None,"no domain"),(5,None,"unmapped")])
-    check("disjoint",rows(V.disjoint(make([(1,0,10),(1,5,5),(1,20,3)],"d int,s long,l long"),["d"],"s","l",5)),[("disjoint","1/20","unaligned"),("disjoint","1/5","overlap")])
-    check("dist",rows(J.distance_matrix(make([(0,),(1,)],"node int"),make([(0,1,15)],"src int,dst int,distance int"))),[(0,0,10),(0,1,15),(1,0,15),(1,1,10)])
-    check("chain",rows(G.backing_chain(make([("a","b"),("b","c"),("c",None)],"image string,backing string"))),[("a",["b","c"],False),("b",["c"],False),("c",[],False)])
-    check("last",rows(J.latest_matches(make([(1,1,"a"),(1,2,"b"),(1,3,"c")],"k int,o int,v string"),["k"],"o","v",["b","c"])),[(1,True)])
-    check("adj",rows(J.adjust_registers(make([(1,0,"eax",0xff),(2,0,"eax",1)],"leaf int,sub_leaf int,register string,value long"),make([(1,1,0,5,"eax",0x0f,0x100)],"ord int,leaf int,low int,high int,register string,mask long,replacement long"))),[(1,0,"eax",0x10f),(2,0,"eax",0)])
+def test_bfs(make):
+    n = make([('root', None), ('p1', 'root'), ('p2', 'root'), ('c1', 'p1'), ('c2', 'p2'), ('c3', 'p2')], 'id string,parent string')
+    e = make([('root', 0, 'p1'), ('root', 1, 'p2'), ('p1', 0, 'c1'), ('p2', 0, 'c2'), ('p2', 1, 'c3'), ('p2', 2, 'zz')], 'parent string,ord int,child string')
+    same([r.id for r in G.breadth_first(n, e, 8).collect()], 'root p1 p2 c1 c2 c3'.split())
+
+
+def test_bfs_rev(make):
+    n = make([('root', None), ('p1', 'root'), ('p2', 'root'), ('c1', 'p1'), ('c2', 'p2'), ('c3', 'p2')], 'id string,parent string')
+    e = make([('root', 0, 'p1'), ('root', 1, 'p2'), ('p1', 0, 'c1'), ('p2', 0, 'c2'), ('p2', 1, 'c3'), ('p2', 2, 'zz')], 'parent string,ord int,child string')
+    same([r.id for r in G.breadth_first(n, e, 8, True).collect()], 'c3 c2 c1 p2 p1 root'.split())
+
+
+def test_depth(make):
+    same(rows(S.span_depths(make([(1, 1, 0, 100), (1, 2, 10, 50), (1, 3, 10, 20), (1, 4, 50, 60), (1, 5, 0, 100)], 't int,id int,s long,e long'), ['t'], 's', 'e', 'id').select('id', 'depth')), [(1, 0), (2, 2), (3, 3), (4, 2), (5, 1)])
+
+
+def test_w8(make):
+    same(rows(S.subsequence_match(make([(1, 1, 'a', 'x'), (1, 2, 'b', 'y'), (1, 3, 'c', 'z'), (2, 1, 'b', 'y'), (2, 2, 'a', 'x')], 'k int,o int,e string,i string'), ['k'], ['o'], 'e', [('a', None), ('c', 'z')], 'i')), [(1, True, 2), (2, False, 1)])
+
+
+def test_trans(make):
+    same(rows(V.transitions(make([('v', 1, 'Created'), ('v', 2, 'Running'), ('v', 3, 'Created')], 'vm string,o int,s string'), ['vm'], 'o', 's')), [('transitions', 'v/3', 'Running->Created')])
+
+
+def test_layers(make):
+    same(rows(J.resolve_layers(make([(1,), (2,), (3,)], 'cluster long'), make([(0, 1, 'empty', 0), (1, 1, 'standard', 77), (0, 2, 'zero', 0)], 'layer int,cluster long,kind string,address long'), 1)), [(1, 1, 'standard', 77), (2, 0, 'zero', 0), (3, None, 'hole', None)])
+
+
+def test_iommu(make):
+    same([(r.id, r.translated, r.problem) for r in J.resolve_endpoints(make([(1, 1, 4608, 16), (2, 2, 5, 1), (3, 3, 5, 1), (4, 9, 5, 1), (5, 1, 5, 1)], 'id int,endpoint int,addr long,size long'), make([(1, 1), (2, 2), (3, 7)], 'endpoint int,domain int'), make([(1, False), (2, True)], 'domain int,bypass boolean'), make([(1, 4096, 16384, 4096)], 'domain int,iova long,gpa long,size long'), False).orderBy('id').collect()], [(1, 16896, None), (2, 5, None), (3, None, 'unknown domain'), (4, None, 'no domain'), (5, None, 'unmapped')])
+
+
+def test_disjoint(make):
+    same(rows(V.disjoint(make([(1, 0, 10), (1, 5, 5), (1, 20, 3)], 'd int,s long,l long'), ['d'], 's', 'l', 5)), [('disjoint', '1/20', 'unaligned'), ('disjoint', '1/5', 'overlap')])
+
+
+def test_dist(make):
+    same(rows(J.distance_matrix(make([(0,), (1,)], 'node int'), make([(0, 1, 15)], 'src int,dst int,distance int'))), [(0, 0, 10), (0, 1, 15), (1, 0, 15), (1, 1, 10)])
+
+
+def test_chain(make):
+    same(rows(G.backing_chain(make([('a', 'b'), ('b', 'c'), ('c', None)], 'image string,backing string'))), [('a', ['b', 'c'], False), ('b', ['c'], False), ('c', [], False)])
+
+
+def test_last(make):
+    same(rows(J.latest_matches(make([(1, 1, 'a'), (1, 2, 'b'), (1, 3, 'c')], 'k int,o int,v string'), ['k'], 'o', 'v', ['b', 'c'])), [(1, True)])
+
+
+def test_adj(make):
+    same(rows(J.adjust_registers(make([(1, 0, 'eax', 255), (2, 0, 'eax', 1)], 'leaf int,sub_leaf int,register string,value long'), make([(1, 1, 0, 5, 'eax', 15, 256)], 'ord int,leaf int,low int,high int,register string,mask long,replacement long'))), [(1, 0, 'eax', 271), (2, 0, 'eax', 0)])

@@ -31,17 +31,6 @@ def test_feature_bits_of_all_keys(spark, tmp_path):
     assert got == {(str(k), str([i for i in range(64) if k >> i & 1]), str(bool(k >> 3 & 1))) for k in keys}
 
 
-def test_token_bucket_against_model(spark):
-    """The streamed fold equals a plain loop over each user's requests."""
-    from vmlens.operators.state import TokenBucket
-
-    got = Q.token_bucket(spark, SF).orderBy("user_id", "event_id").collect()
-    buckets = {}
-    for r in got:
-        b = buckets.setdefault(r.user_id, TokenBucket(200, 100, 3_600_000, r.ts_ns))
-        assert (r.outcome, r.ratio) == b.reduce(r.tokens, r.ts_ns)
-
-
 def test_random_chunks_and_islands(make):
     """Closed forms against loops."""
     import random

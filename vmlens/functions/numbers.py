@@ -198,25 +198,66 @@ def checksum(data: Column, skip_from: int = 64, skip_to: int = 68) -> Column:
     return F.bitwise_not(total).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+#: CRC-32C's polynomial, reversed (fixed by the format).
+CASTAGNOLI = 0x82F63B78
+
+
+class Crc32c:
+    """A buffer is taken as rows of equal length, which go through the table side by side; the rows' values are then joined.
+
+    The register is linear over GF(2): that of two parts is that of the first, shifted by the length of the second, XOR that
+    of the second. Zeros in front change nothing, and the initial value is the same as inverting the first four bytes."""
+
+    def __init__(self):
+        import numpy as np
+
+        table = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            table = table >> 1 ^ np.where(table & 1, np.uint32(CASTAGNOLI), np.uint32(0))
+        self.table, self.shifts = table, {}
+
+    def shift(self, zeros: int):
+        """Tables of the register after so many zero bytes, by its four bytes."""
+        import numpy as np
+
+        if zeros not in self.shifts:
+            bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+            for _ in range(zeros):
+                bits = self.table[bits & 0xFF] ^ bits >> 8
+            picked = (np.arange(256)[:, None] >> np.arange(8)) & 1
+            self.shifts[zeros] = [np.bitwise_xor.reduce(np.where(picked, bits[8 * k : 8 * k + 8], 0), axis=1).astype(np.uint32) for k in range(4)]
+        return self.shifts[zeros]
+
+    def __call__(self, data: bytes) -> int:
+        import numpy as np
+
+        n = max(len(data), 4)
+        width = 1 << max(2, (n.bit_length() + 1) // 2)
+        rows = np.zeros(-(-n // width) * width, dtype=np.uint8)
+        # short buffers: the inverted bytes before them
+        head = np.frombuffer(data, dtype=np.uint8).copy()
+        head[:4] ^= 0xFF
+        rows[len(rows) - len(data) :] = head
+        register = np.zeros(len(rows) // width, dtype=np.uint32)
+        for column in rows.reshape(-1, width).T:
+            register = self.table[(register ^ column) & 0xFF] ^ register >> 8
+        a, b, c, d = self.shift(width)
+        total = 0
+        for r in register.tolist():
+            total = int(a[total & 0xFF] ^ b[total >> 8 & 0xFF] ^ c[total >> 16 & 0xFF] ^ d[total >> 24]) ^ r
+        if len(data) < 4:
+            # what is left of the initial value after fewer than four bytes
+            total ^= 0xFFFFFFFF >> 8 * len(data)
+        return total ^ 0xFFFFFFFF
+
+
 def crc32c(data: Column) -> Column:
     """CRC-32C (Castagnoli) of a binary; Spark's crc32 has another polynomial, so this is an Arrow UDF."""
+
     @F.pandas_udf("long")
     def crc(values: pd.Series) -> pd.Series:
-        table = []
-        for n in range(256):
-            for _ in range(8):
-                n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-            table.append(n)
-
-        def one(value: bytes | None) -> int | None:
-            if value is None:
-                return None
-            c = 0xFFFFFFFF
-            for b in value:
-                c = table[(c ^ b) & 0xFF] ^ c >> 8
-            return c ^ 0xFFFFFFFF
-
-        return pd.Series([one(v) for v in values], dtype="Int64")
+        one = Crc32c()
+        return pd.Series([None if v is None else one(v) for v in values], dtype="Int64")
 
     return crc(data)
 

@@ -146,17 +146,77 @@ def pair_list(text: Column) -> Column:
     return _let(pairs, lambda ps: F.when(F.forall(ps, lambda p: p.isNotNull()), ps))
 
 
-#: Section -> (keys, flags): a table over parse_options; sections differ in their names only.
-SECTIONS: dict[str, tuple[list[str], list[str]]] = {
-    "cpus": (["boot", "max", "topology", "kvm_hyperv", "max_phys_bits", "affinity", "features", "nested"], []),
-    "memory": (["size", "file", "mergeable", "hotplug_method", "hotplug_size", "hotplugged_size", "shared", "hugepages", "hugepage_size", "prefault", "thp"], []),
-    "disk": (["path", "readonly", "direct", "iommu", "num_queues", "queue_size", "vhost_user", "socket", "bw_size", "bw_one_time_burst", "bw_refill_time", "ops_size", "ops_one_time_burst", "ops_refill_time", "id", "pci_segment", "serial", "rate_limit_group", "queue_affinity"], []),
-    "net": (["tap", "ip", "mask", "mac", "host_mac", "mtu", "iommu", "num_queues", "queue_size", "id", "vhost_user", "vhost_mode", "socket", "fd", "bw_size", "bw_one_time_burst", "bw_refill_time", "ops_size", "ops_one_time_burst", "ops_refill_time", "pci_segment"], []),
-    "numa": (["guest_numa_id", "cpus", "distances", "memory_zones", "pci_segments", "device_id"], []),
-    "balloon": (["size", "deflate_on_oom", "free_page_reporting", "statistics", "id", "pci_segment"], []),
+#: Options that many sections have, as "key type" (fixed values, like those of SECTIONS).
+_DEVICE = "id text, pci_segment int, pci_device_id int"
+_IOMMU = f"{_DEVICE}, iommu toggle"
+_LIMITER = "bw_size int, bw_one_time_burst int, bw_refill_time int, ops_size int, ops_one_time_burst int, ops_refill_time int"
+_MEMORY = "size bytes, file text, shared toggle, hugepages toggle, hugepage_size bytes, hotplug_size bytes, hotplugged_size bytes, prefault toggle, reserve toggle, mergeable toggle"
+_CONSOLE = "off flag, pty flag, tty flag, null flag, file text, socket text"
+
+#: Section -> its options and their types: text, int, bytes, toggle, ints, strings, pairs, or flag (one without a value).
+SECTIONS: dict[str, str] = {
+    "cpus": "boot int, max int, topology text, kvm_hyperv toggle, max_phys_bits int, affinity pairs, features strings, nested toggle, core_scheduling text, profile text",
+    "pci-segment": "mmio32_aperture_weight int, mmio64_aperture_weight int, pci_segment int",
+    "platform": "num_pci_segments int, iommu_segments ints, iommu_address_width int, serial_number text, uuid text, oem_strings strings, iommufd toggle, iommufd_fd int, vfio_p2p_dma toggle, tdx toggle, sev_snp toggle",
+    "memory": f"{_MEMORY}, hotplug_method text, thp toggle",
+    "memory-zone": f"id text, {_MEMORY}, host_numa_node int",
+    "rate-limit-group": f"{_LIMITER}, id text",
+    "disk": f"path text, readonly toggle, direct toggle, queue_size int, num_queues int, vhost_user toggle, socket text, _disable_io_uring toggle, _disable_aio toggle, serial text, rate_limit_group text, queue_affinity pairs, backing_files toggle, sparse toggle, image_type text, lock_granularity text, guest_block_size int, {_LIMITER}, {_IOMMU}",
+    "net": f"tap text, ip text, mask text, mac text, host_mac text, offload_tso toggle, offload_ufo toggle, offload_csum toggle, mtu int, queue_size int, num_queues int, vhost_user toggle, socket text, vhost_mode text, fd ints, {_LIMITER}, {_IOMMU}",
+    "rng": f"src text, {_IOMMU}",
+    "rtc": _IOMMU,
+    "balloon": f"size bytes, deflate_on_oom toggle, free_page_reporting toggle, {_IOMMU}",
+    "generic-vhost-user": f"device_type text, virtio_id text, queue_sizes ints, socket text, {_DEVICE}",
+    "fs": f"tag text, queue_size int, num_queues int, socket text, {_DEVICE}",
+    "fw-cfg": "e820 toggle, kernel toggle, cmdline toggle, initramfs toggle, acpi_table toggle, items text",
+    "fw-cfg-item": "name text, file text, string text",
+    "pmem": f"size bytes, file text, discard_writes toggle, {_IOMMU}",
+    "console": f"{_CONSOLE}, {_IOMMU}",
+    "serial": _CONSOLE,
+    "debug-console": "off flag, pty flag, tty flag, null flag, file text, iobase text",
+    "device": f"path text, fd int, x_nv_gpudirect_clique int, x_exclude_mmap_bars ints, {_IOMMU}",
+    "user-device": f"socket text, {_DEVICE}",
+    "vdpa": f"path text, num_queues int, {_IOMMU}",
+    "vsock": f"socket text, cid int, {_IOMMU}",
+    "numa": "guest_numa_id int, cpus ints, distances pairs, device_id text, memory_zones strings, pci_segments ints",
+    "restore": "source_url text, prefault toggle, memory_restore_mode text, net_fds pairs, vfio_fds pairs, iommufd_fd int, resume toggle, zone_updates pairs",
+    "tpm": "socket text",
+    "landlock": "path text, access text",
+    "ivshmem": f"path text, size bytes, {_DEVICE}",
 }
 
 
+def section_types(section: str) -> dict[str, str]:
+    return dict(x.split(" ") for x in SECTIONS[section].split(", "))
+
+
 def parse_section(section: str, text: Column, subset: bool = False) -> Column:
-    keys, flags = SECTIONS[section]
-    return parse_options(text, keys, flags, subset)
+    """map<string,string> of a section's options, as parse_options()."""
+    types = section_types(section)
+    return parse_options(text, [k for k, t in types.items() if t != "flag"], [k for k, t in types.items() if t == "flag"], subset)
+
+
+def _typed(kind: str, value: Column) -> Column:
+    if kind == "int":
+        return value.try_cast("bigint")
+    return {"bytes": byte_size, "toggle": toggle, "ints": integer_list, "strings": string_list, "pairs": pair_list, "text": lambda x: x}[kind](value)
+
+
+#: Types whose lists and pairs are taken before quotes are removed.
+_RAW = ("strings", "pairs")
+
+
+def typed_section(section: str, text: Column) -> Column:
+    """A struct of all options of a section in their types (null: not set; flags are booleans) and `problem`: the options
+    whose value isn't of its type, joined by commas, or "syntax"."""
+
+    def body(o: Column) -> Column:
+        raw = lambda k: F.try_element_at(o, F.lit(k))
+        given = lambda k, t: F.when(raw(k) != "", raw(k) if t in _RAW else dequote(raw(k)))
+        types = section_types(section)
+        fields = {k: F.coalesce(is_set(o, k), F.lit(False)) if t == "flag" else _typed(t, given(k, t)) for k, t in types.items()}
+        wrong = [F.when(given(k, t).isNotNull() & fields[k].isNull(), k) for k, t in types.items() if t not in ("flag", "text")]
+        problem = F.when(o.isNull(), "syntax").otherwise(F.nullif(F.concat_ws(",", *wrong), F.lit("")))
+        return F.struct(*(v.alias(k) for k, v in fields.items()), problem.alias("problem"))
+
+    return _let(parse_section(section, text), body)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import adjust
+from .state import ordered_fold, ordered_reduce
 
 
 def mean(value: str) -> Column:
@@ -41,35 +42,45 @@ def benchmark_summary(runs: DataFrame, by: Sequence[str], iteration: str, value:
     return out.select(*by, *(F.when(passed, scaled(k)).otherwise(F.lit(0.0)).alias(k) for k in stats), F.when(passed, "PASSED").otherwise("FAILED").alias("status"))
 
 
-def cumulative_average(df: DataFrame, by: Sequence[str], order: str, value: str, scale: int = 10_000) -> DataFrame:
+def truncated(a: int, b: int) -> int:
+    """a / b towards zero."""
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+
+
+def cumulative_average(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, scale: int = 10_000) -> DataFrame:
     """by, average: the scaled integer average that a counter keeps, whose steps truncate: it depends on the order.
 
-    A group is folded as one array of (order, value), so its rows must fit a task; avg() is the mergeable approximation."""
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("a"))
-    # the quotient is truncated towards zero in 64 bits
-    step = lambda s, x: F.struct((s["n"] + 1).alias("n"), F.when(s["n"] == 0, x["v"] * scale).otherwise(s["a"] + _quotient(x["v"] * scale - s["a"], s["n"] + 1)).alias("a"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("bigint").alias("v"))))
-    folded = df.where(F.col(value).isNotNull()).groupBy(*by).agg(rows.alias("__rows"))
-    return folded.select(*by, F.aggregate("__rows", start, step, lambda s: _quotient(s["a"], F.lit(scale).cast("bigint"))).alias("average"))
+    Rows are read as a sorted stream, a key's state is two numbers; avg() is the mergeable approximation. Null values don't
+    count."""
+
+    def make(first: dict):
+        state = [0, 0]
+
+        def step(row: dict) -> None:
+            x = row[value] * scale
+            state[0] += 1
+            state[1] = x if state[0] == 1 else state[1] + truncated(x - state[1], state[0])
 
+        step.state = state
+        return step
 
-def _quotient(a: Column, b: Column) -> Column:
-    """a div b for bigint: exact, truncating."""
-    return F.try_divide(a.cast("decimal(19,0)") - F.try_mod(a, b).cast("decimal(19,0)"), b.cast("decimal(19,0)")).cast("bigint")
+    return ordered_reduce(df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("bigint")), by, order, make, lambda step: (truncated(step.state[1], scale),), "average long", [value])
 
 
-def request_counters(df: DataFrame, by: Sequence[str], direction: str = "direction", num_bytes: str = "bytes", latency: str = "latency_us", result: str = "result") -> DataFrame:
+def request_counters(df: DataFrame, by: Sequence[str], order: Sequence[str], direction: str = "direction", num_bytes: str = "bytes", latency: str = "latency_us", result: str = "result") -> DataFrame:
     """Long-format counters: by, counter, value. Byte and op counters are always there; latency ones only for a direction
-    that had operations. Failed requests (result < 0) don't count."""
+    that had operations. Failed requests (result < 0) don't count. The average is cumulative_average()'s."""
     fine = F.col(result) >= 0
     aggs = []
     for d in ("read", "write"):
         mine = fine & (F.col(direction) == d)
         aggs += [F.coalesce(F.sum(F.when(mine, F.col(num_bytes))), F.lit(0)).cast("bigint").alias(f"{d}_bytes"), F.count(F.when(mine, 1)).alias(f"{d}_ops")]
-        aggs += [f(F.when(mine, F.col(latency))).cast("bigint").alias(f"{d}_latency_{n}") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
+        aggs += [f(F.when(mine, F.col(latency))).cast("bigint").alias(f"{d}_latency_{n}") for n, f in (("min", F.min), ("max", F.max))]
     wide = df.groupBy(*by).agg(*aggs)
     names = [c for c in wide.columns if c not in by]
-    return wide.unpivot(list(by), names, "counter", "value").where("value IS NOT NULL")
+    done = df.where(fine & F.col(direction).isin("read", "write"))
+    averages = cumulative_average(done, [*by, direction], order, latency).select(*by, F.concat(direction, F.lit("_latency_avg")).alias("counter"), F.col("average").alias("value"))
+    return wide.unpivot(list(by), names, "counter", "value").where("value IS NOT NULL").unionByName(averages)
 
 
 def counter_maps(long: DataFrame, device: str = "device_id", counter: str = "counter", value: str = "value") -> DataFrame:
@@ -126,16 +137,42 @@ def complete_pages(df: DataFrame, by: Sequence[str], addr: str, page_size: int,
     return seen.where(F.col("__n") == n).drop("__n")
 
 
-def complete_pages_in_order(df: DataFrame, by: Sequence[str], order: str, addr: str, page_size: int, sub: int = 4096) -> DataFrame:
-    """by, pages: those completed when an address of another page forgets what was seen, as a device with one bitmap does."""
-    n = page_size // sub
-    start = F.struct(F.lit(-1).cast("bigint").alias("page"), F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<bigint>").alias("done"))
+def complete_pages_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], addr: str, page_size: int, sub: int = 4096) -> DataFrame:
+    """by, page: those completed when an address of another page forgets what was seen, as a device with one bitmap does.
+
+    One row for each time a page is completed; the state is one page's bitmap."""
+
+    def make(first: dict):
+        state = {"page": None, "seen": set()}
+
+        def step(row: dict) -> tuple:
+            page = row[addr] - row[addr] % page_size
+            if page != state["page"]:
+                state["page"], state["seen"] = page, set()
+            state["seen"].add((row[addr] - page) // sub)
+            if len(state["seen"]) < page_size // sub:
+                return (None,)
+            state["page"] = None
+            return (page,)
+
+        return step
+
+    marked = ordered_fold(df.select(*by, *(c for c in order if c not in by), F.col(addr).cast("bigint").alias(addr)), by, order, make, "page long", [addr])
+    return marked.where("page IS NOT NULL").select(*by, "page")
+
+
+# further sums and counts
+
+
+def stream_total(value: str) -> Column:
+    """Throughput of several clients together; a client without a figure counts as 0."""
+    return F.coalesce(F.sum(value), F.lit(0.0))
+
+
+def plugged_size(plugged: str, device: str) -> Column:
+    """Plugged bytes of the zones that have a device."""
+    return F.coalesce(F.sum(F.when(F.col(device).isNotNull(), F.col(plugged))), F.lit(0)).cast("bigint")
 
-    def step(s: Column, x: Column) -> Column:
-        page = x["a"] - F.pmod(x["a"], F.lit(page_size))
-        seen = F.array_union(F.when(s["page"] == page, s["seen"]).otherwise(F.array().cast("array<bigint>")), F.array(F.floor((x["a"] - page) / sub).cast("bigint")))
-        full = F.size(seen) == n
-        return F.struct(F.when(full, F.lit(-1)).otherwise(page).cast("bigint").alias("page"), F.when(full, F.array().cast("array<bigint>")).otherwise(seen).alias("seen"), F.when(full, F.concat(s["done"], F.array(page))).otherwise(s["done"]).alias("done"))
 
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(addr).cast("bigint").alias("a")))).alias("__rows"))
-    return rows.select(*by, F.aggregate("__rows", start, step, lambda s: s["done"]).alias("pages"))
+def active_count(active: str) -> Column:
+    return F.count_if(F.coalesce(F.col(active), F.lit(False)))

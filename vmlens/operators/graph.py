@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable
 
 #: Levels between checkpoints.
 LEVELS = 4
@@ -25,7 +26,7 @@ def breadth_first(nodes: DataFrame, edges: DataFrame, max_depth: int | None = No
         level = level.join(step, "id").select(F.col("child").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array(F.col("child").cast("string"))).alias("path"), F.concat("ords", F.array(F.col("ord").cast("bigint"))).alias("ords"), "root")
         block = block.unionByName(level)
         if depth % LEVELS == 0:
-            block = block.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else block.localCheckpoint()
+            block = durable(block)
             out = block if out is None else out.unionByName(block)
             level = block.where(F.col("depth") == depth)
             if not block.where(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():

@@ -91,8 +91,16 @@ def missing_replacements(adjustments: DataFrame, values: DataFrame) -> DataFrame
     return adjustments.where("replacement <> 0").join(v, (adjustments["leaf"] == v["leaf"]) & (adjustments["register"] == v["register"]) & v["__s"].between(adjustments["low"], adjustments["high"]), "left_anti")
 
 
+#: Nodes of a system, whose pairs are all made.
+MOST_NODES = 1024
+
+
 def distance_matrix(nodes: DataFrame, distances: DataFrame, by: Sequence[str] = (), node: str = "node", local: int = 10, remote: int = 20) -> DataFrame:
-    """All pairs of nodes (of one system: a handful): the forward distance, else the reverse one, else the default."""
+    """All pairs of nodes of a system (by): the forward distance, else the reverse one, else the default.
+
+    Without `by` all nodes are one system's; more than MOST_NODES are an error."""
+    if not by and nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes in one system")
     a = nodes.select(*by, F.col(node).alias("a"))
     b = nodes.select(*by, F.col(node).alias("b"))
     pairs = a.join(b, list(by)) if by else a.join(F.broadcast(b), F.lit(True))

@@ -23,8 +23,8 @@ def islands(df: DataFrame, by: Sequence[str], position: str) -> DataFrame:
 
 def bitmap_ranges(df: DataFrame, by: Sequence[str], words: str, start: str, page_size: str) -> DataFrame:
     """Dirty bitmap words (array<bigint>, bit i of word k is page 64 k + i) to ranges: by, gpa, length."""
-    pages = df.select(*by, start, page_size, F.posexplode(words).alias("__k", "__w")).select(*by, start, page_size, F.explode(F.transform(bit_positions(F.col("__w")), lambda i: F.col("__k").cast("bigint") * 64 + i)).alias("page"))
-    runs = islands(pages, [*by, start, page_size], "page")
+    pages = df.select(*by, start, page_size, F.posexplode(words).alias("__k", "__w")).select(*by, start, page_size, F.explode(F.transform(bit_positions(F.col("__w")), lambda i: F.col("__k").cast("bigint") * 64 + i)).alias("__page"))
+    runs = islands(pages, [*by, start, page_size], "__page")
     return runs.select(*by, (F.col(start) + F.col("first") * F.col(page_size)).alias("gpa"), (F.col("n") * F.col(page_size)).alias("length"))
 
 
@@ -123,11 +123,14 @@ def asof(queries: DataFrame, bases: DataFrame, by: Sequence[str], at: str, base:
     else:
         both = both.withColumn("__bin", F.floor(F.col("__x") / width))
         best = both.where("__q = 0").groupBy(*by, "__bin").agg(F.max(F.struct(base, *payload)).alias("__best"))
-        carry = both.select(*by, "__bin").distinct().join(best, [*by, "__bin"], "left")
+        carry = both.select(*by, "__bin", F.lit(None).cast(best.schema["__best"].dataType).alias("__best")).distinct().unionByName(best).groupBy(*by, "__bin").agg(F.max("__best").alias("__best"))
         before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
         carry = carry.withColumn("__seed", F.last("__best", ignorenulls=True).over(before)).drop("__best")
         w = Window.partitionBy(*by, "__bin").orderBy("__x", "__q", *payload)
-        found = both.join(carry, [*by, "__bin"]).withColumn("__f", F.coalesce(F.last(packed, ignorenulls=True).over(w), F.col("__seed")))
+        # keys may be null, and those are alike
+        keys = [*by, "__bin"]
+        carry = carry.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__seed")
+        found = both.join(carry, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]).withColumn("__f", F.coalesce(F.last(packed, ignorenulls=True).over(w), F.col("__seed")))
     return found.where("__q = 1").select(*queries.columns, F.col(f"__f.{base}").alias(base), *(F.col(f"__f.{p}").alias(p) for p in payload))
 
 

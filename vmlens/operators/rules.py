@@ -117,6 +117,22 @@ def numa_mode(has_nodes: Column, has_zones: Column, hotplug: Column) -> Column:
     return F.when(has_nodes & ~has_zones, "error: nodes without zones").when(has_nodes & hotplug, "nodes, zones hotplugged").when(has_nodes, "nodes").when(has_zones, "zones").otherwise("flat")
 
 
+def numa_node_problem(device_id: Column, cpus: Column, zones: Column) -> Column:
+    """What is wrong with a node that is a device's, or has CPUs, or zones; null if nothing. Absent is null, given may be empty."""
+    device, own = device_id.isNotNull(), cpus.isNotNull() | zones.isNotNull()
+    problem = F.when(device & own, "device_id excludes cpus and memory_zones").when(~device & ~own, "neither device_id nor cpus or memory_zones")
+    problem = problem.when(device & (F.length(device_id) == 0), "device_id is empty").when(cpus.isNotNull() & (F.size(cpus) == 0), "cpus is empty")
+    return problem.when(cpus.isNull() & zones.isNotNull() & (F.size(zones) == 0), "memory_zones is empty")
+
+
+#: Context ids that no vsock device may have (fixed values; the last is all bits of 32).
+SPECIAL_CIDS = (0, 1, 2, 0xFFFF_FFFF)
+
+
+def special_cid(cid: str) -> Column:
+    return F.col(cid).isin(*SPECIAL_CIDS)
+
+
 @rule
 def feature_compatibility(source: DataFrame, target: DataFrame, checks: DataFrame, name: str = "feature_compatibility") -> DataFrame:
     """All mismatches. source, target: leaf, register, value; checks: leaf, register, kind (subset, equal, not_greater).
@@ -155,6 +171,10 @@ VM_TRANSITIONS = [
 ]
 
 
+#: Legal steps of a migration's context (fixed values).
+MIGRATION_TRANSITIONS = [("Begin", "VmPaused"), ("VmPaused", "Completed")]
+
+
 @rule
 def transitions(df: DataFrame, by: Sequence[str], order: str, state: str, legal: Sequence[tuple[str, str]] = VM_TRANSITIONS, name: str = "transitions") -> DataFrame:
     """Steps from one state to the next that aren't among the legal ones."""
@@ -164,8 +184,9 @@ def transitions(df: DataFrame, by: Sequence[str], order: str, state: str, legal:
     return _found(steps.where(~allowed), name, F.concat_ws("/", *(F.col(c).cast("string") for c in (*by, order))), F.concat_ws("->", "__from", state))
 
 
-def version_supported(version: Column, oldest: int, newest: int) -> Column:
-    return version.between(oldest, newest)
+def version_supported(version: Column, current: int) -> Column:
+    """The current version and the one before it, if there is one."""
+    return version.between(max(0, current - 1), current)
 
 
 @rule

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import ordered_reduce
+
 
 def span_depths(spans: DataFrame, by: Sequence[str], start: str, end: str, ident: str) -> DataFrame:
     """Spans with `depth`, the number of spans of their thread that enclose them.
@@ -31,19 +33,27 @@ def span_layout(spans: DataFrame, thread: str, start_ns: str, end_ns: str, total
     return drawn.withColumns({"x": F.lit(padding) + F.col(start_ns) * scale, "w": (F.col(end_ns) - F.col(start_ns)) * scale, "label_ms": label, "ord": order})
 
 
-def subsequence_match(df: DataFrame, by: Sequence[str], order: str, event: str, expected: Sequence[tuple[str, str | None]], ident: str | None = None) -> DataFrame:
+def subsequence_match(df: DataFrame, by: Sequence[str], order: Sequence[str], event: str, expected: Sequence[tuple[str, str | None]], ident: str | None = None) -> DataFrame:
     """by, matched, n_matched: greedy match of the expected events, in order, others between them allowed.
 
-    An expected event is (name, id or None): the id must be equal where it's given. The state is one number, but a group's
-    events are folded as one array, so they must fit a task."""
-    want = F.array(*(F.struct(F.lit(e).alias("e"), F.lit(i).cast("string").alias("i")) for e, i in expected))
-    own = F.col(ident).cast("string") if ident else F.lit(None).cast("string")
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(event).alias("e"), own.alias("i"))))
-    next_ = lambda s: F.get(want, s)
-    step = lambda s, x: s + F.when((s < len(expected)) & F.coalesce(next_(s)["e"] == x["e"], F.lit(False)) & (next_(s)["i"].isNull() | F.coalesce(next_(s)["i"] == x["i"], F.lit(False))), 1).otherwise(0)
-    rows = df.groupBy(*by).agg(seq.alias("__s"))
-    out = rows.select(*by, F.aggregate("__s", F.lit(0), step).alias("n_matched"))
-    return out.select(*by, (F.col("n_matched") == len(expected)).alias("matched"), "n_matched")
+    An expected event is (name, id or None): the id must be equal where it's given. A key's rows are read as a sorted stream;
+    the state is one number."""
+    wanted = [(e, None if i is None else str(i)) for e, i in expected]
+    rows = df.withColumn("__id", F.col(ident).cast("string")) if ident else df.withColumn("__id", F.lit(None).cast("string"))
+
+    def make(first: dict):
+        state = [0]
+
+        def step(row: dict) -> None:
+            if state[0] < len(wanted):
+                name, i = wanted[state[0]]
+                state[0] += row[event] == name and (i is None or row["__id"] == i)
+
+        step.state = state
+        return step
+
+    out = ordered_reduce(rows, by, order, make, lambda step: (step.state[0],), "n_matched int", [event, "__id"])
+    return out.select(*by, (F.col("n_matched") == len(wanted)).alias("matched"), "n_matched")
 
 
 def unsorted(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:

@@ -1,39 +1,87 @@
 """Operators whose result depends on all earlier rows of a key: limiters, allocators, bounded queues.
 
 A key's rows are dealt to one task and sorted there; the task reads them as a stream and holds one key's state, so no group
-is collected. The step is a small Python object: such state machines have no built-in expression.
+is collected. The step is a small Python object: such state machines have no built-in expression. Rows come as Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COOL_DOWN_NS = 100_000_000
 
 
-def ordered_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[dict], Callable[[dict], tuple]], outputs: str) -> DataFrame:
-    """`df` with further columns: make(first row of a key) gives a callable that maps every row to their values."""
+def _keys(row: dict, by: Sequence[str]) -> tuple:
+    """A key that is equal to itself, be it null or not a number."""
+    return tuple("nan" if x != x else x for x in (row[c] for c in by))
+
+
+def _arrow_types(ddl: str) -> list:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(ddl).fields]
+
+
+def ordered_fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[dict], Callable[[dict], tuple]], outputs: str, reads: Sequence[str] | None = None) -> DataFrame:
+    """`df` with further columns: make(first row of a key) gives a callable that maps every row to their values.
+
+    Values are Python's own: whole numbers stay exact beside nulls, and a null key is a key like any other. reads: the
+    columns that are looked at, beside the key's; by default all."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + outputs
-    names = [x.split()[0] for x in outputs.split(", ")]
-    columns = df.columns
+    types = _arrow_types(outputs)
+    used = [c for c in df.columns if reads is None or c in reads or c in by]
 
     def run(batches):
         key, step = None, None
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for values in zip(*(pdf[c].tolist() for c in columns), strict=True):
-                row = dict(zip(columns, values, strict=True))
-                now = tuple(row[c] for c in by)
+            for values in zip(*(batch.column(c).to_pylist() for c in used), strict=True):
+                row = dict(zip(used, values, strict=True))
+                now = _keys(row, by)
                 if step is None or now != key:
                     key, step = now, make(row)
                 rows.append(step(row))
-            out = pd.DataFrame(rows, columns=names, index=pdf.index, dtype=object)
-            yield pd.concat([pdf, out], axis=1)
+            new = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(n for n, _ in types)])
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+def ordered_reduce(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[dict], Callable[[dict], None]], finish: Callable[[Callable], tuple], outputs: str, reads: Sequence[str]) -> DataFrame:
+    """One row per key: by and the values that finish(step) has after make(first row)'s step has seen all rows in order."""
+    keys = df.select(*by).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", " + outputs
+    types = [*_arrow_types(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)), *_arrow_types(outputs)]
+    used = [*by, *(c for c in dict.fromkeys([*reads, *order]) if c not in by)]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], names=[n for n, _ in types])
+
+    def run(batches):
+        key, step, first, done = None, None, (), []
+        for batch in batches:
+            for values in zip(*(batch.column(c).to_pylist() for c in used), strict=True):
+                row = dict(zip(used, values, strict=True))
+                now = _keys(row, by)
+                if step is None or now != key:
+                    if step is not None:
+                        done.append((*first, *finish(step)))
+                    key, step, first = now, make(row), tuple(row[c] for c in by)
+                step(row)
+            if len(done) >= 10_000:
+                yield table(done)
+                done = []
+        if step is not None:
+            done.append((*first, *finish(step)))
+        yield table(done)
+
+    return df.select(*used).repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 class TokenBucket:
@@ -100,11 +148,13 @@ def token_bucket(requests: DataFrame, by: Sequence[str], order: Sequence[str], n
         bucket = TokenBucket(size, burst, refill_ms, int(first[now_ns]))
         return lambda row: (*bucket.reduce(int(row[tokens]), int(row[now_ns])), bucket.budget, bucket.burst)
 
-    return ordered_fold(requests, by, order, make, "outcome string, ratio double, budget long, burst long")
+    return ordered_fold(requests, by, order, make, "outcome string, ratio double, budget long, burst long", [now_ns, tokens])
 
 
 def limit(requests: DataFrame, by: Sequence[str], order: Sequence[str], now_ns: str, kind: str, tokens: str, buckets: dict[str, tuple[int, int, int]]) -> DataFrame:
-    """Requests with `allowed`; `by` may be a group that many handles share. kind: "bytes" or "ops"; "+bytes" gives back."""
+    """Requests with `allowed` and blocked_until (null where the request blocks nothing).
+
+    `by` may be a group that many handles share. kind: "bytes" or "ops"; "+bytes" gives back."""
 
     def make(first: dict):
         limiter = Limiter(buckets, int(first[now_ns]))
@@ -114,12 +164,20 @@ def limit(requests: DataFrame, by: Sequence[str], order: Sequence[str], now_ns:
             if what.startswith("+"):
                 if what[1:] in limiter.buckets:
                     limiter.buckets[what[1:]].replenish(int(row[tokens]))
-                return (True,)
-            return (limiter.consume(what, int(row[tokens]), int(row[now_ns])),)
+                return True, None
+            before = limiter.blocked_until
+            allowed = limiter.consume(what, int(row[tokens]), int(row[now_ns]))
+            return allowed, limiter.blocked_until if limiter.blocked_until != before else None
 
         return step
 
-    return ordered_fold(requests, by, order, make, "allowed boolean")
+    return ordered_fold(requests, by, order, make, "allowed boolean, blocked_until long", [now_ns, kind, tokens])
+
+
+def unblocked(limited: DataFrame, handles: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What a group's handles are told: handles' columns and `at`, a row for each handle of a group whenever its block ends."""
+    ends = limited.where("blocked_until IS NOT NULL").select(*by, "blocked_until").distinct().withColumnRenamed("blocked_until", "at")
+    return handles.join(ends, list(by))
 
 
 class AddressSpace:
@@ -161,21 +219,18 @@ class AddressSpace:
 def allocate_addresses(requests: DataFrame, by: Sequence[str], order: Sequence[str], base: int, size: int) -> DataFrame:
     """Requests (op allocate or free, at, length, align) with `address`: where, null if it can't be done."""
 
-    def number(x):
-        return None if x is None or x != x else int(x)
-
     def make(first: dict):
         space = AddressSpace(base, size)
 
         def step(row: dict) -> tuple:
-            at, length = number(row["at"]), number(row["length"]) or 0
+            at, length = row["at"], row["length"] or 0
             if row["op"] == "free":
                 return (at if at is not None and space.free(at, length) else None,)
-            return (space.allocate(length, number(row["align"]) or 4, at),)
+            return (space.allocate(length, row["align"] or 4, at),)
 
         return step
 
-    return ordered_fold(requests, by, order, make, "address long")
+    return ordered_fold(requests, by, order, make, "address long", ["op", "at", "length", "align"])
 
 
 def allocate_slots(requests: DataFrame, by: Sequence[str], order: Sequence[str], policy: str, size: int = 1 << 30, first_slot: int = 0) -> DataFrame:
@@ -193,7 +248,6 @@ def allocate_slots(requests: DataFrame, by: Sequence[str], order: Sequence[str],
 
         def step(row: dict) -> tuple:
             op, slot = row["op"], row["slot"]
-            slot = None if slot is None or slot != slot else int(slot)
             if op == "reserve":
                 ok = slot not in used and slot not in reserved
                 reserved.add(slot)
@@ -233,39 +287,52 @@ def allocate_slots(requests: DataFrame, by: Sequence[str], order: Sequence[str],
 
         return step
 
-    return ordered_fold(requests, by, order, make, "got long")
+    return ordered_fold(requests, by, order, make, "got long", ["op", "slot"])
 
 
 def expire(events: DataFrame, by: Sequence[str], order: Sequence[str], now: str, lifetime: int, size: int = 128) -> DataFrame:
-    """Events (op add, touch, remove or poll, item) with `expired` (array): a FIFO of kill times; at a poll the items whose
-    time has come are popped, and those touched or removed since aren't reported. Beyond `size` items are taken in again
-    when the queue is empty."""
+    """Events (op arm, disarm or poll; item) with `expired` (array), what a poll ends.
+
+    arm gives an item a kill time and queues it; a full queue, or one that has missed an item, takes none and is out of step
+    from then on. A poll pops what is past its time from the front; an item that was disarmed or armed anew since isn't
+    ended. A queue that is empty and out of step is made anew from the first `size` items (by name) that have a kill time, in
+    time order, and polled again."""
 
     def make(first: dict):
-        queue: list[tuple[int, str]] = []
+        queue: deque[tuple[int, str]] = deque()
         live: dict[str, int] = {}
+        state = {"synced": True}
+
+        def poll(t: int) -> list[str]:
+            gone = []
+            while True:
+                while queue and t > queue[0][0]:
+                    item = queue.popleft()[1]
+                    if item in live and t > live[item]:
+                        del live[item]
+                        gone.append(item)
+                if queue or state["synced"]:
+                    return gone
+                queue.extend(sorted((live[x], x) for x in sorted(live)[:size]))
+                state["synced"] = len(live) <= size
 
         def step(row: dict) -> tuple:
-            t, item, gone = int(row[now]), row["item"], []
-            if row["op"] in ("add", "touch"):
-                live[item] = t + lifetime
-                if len(queue) < size:
-                    queue.append((t + lifetime, item))
-            elif row["op"] == "remove":
+            t, item = row[now], row["item"]
+            if row["op"] == "poll":
+                return (poll(t),)
+            if row["op"] == "disarm":
                 live.pop(item, None)
             else:
-                while queue and queue[0][0] <= t:
-                    kill, name = queue.pop(0)
-                    if live.get(name) == kill:
-                        del live[name]
-                        gone.append(name)
-                if not queue:
-                    queue.extend(sorted((k, n) for n, k in live.items())[:size])
-            return (gone,)
+                live[item] = t + lifetime
+                if state["synced"] and len(queue) < size:
+                    queue.append((t + lifetime, item))
+                else:
+                    state["synced"] = False
+            return ([],)
 
         return step
 
-    return ordered_fold(events, by, order, make, "expired array<string>")
+    return ordered_fold(events, by, order, make, "expired array<string>", [now, "op", "item"])
 
 
 def bounded_queue(events: DataFrame, by: Sequence[str], order: Sequence[str], size: int = 256) -> DataFrame:
@@ -273,13 +340,13 @@ def bounded_queue(events: DataFrame, by: Sequence[str], order: Sequence[str], si
     an rx is dropped (and the queue is unsynced from then on); pop gives the oldest."""
 
     def make(first: dict):
-        queue: list[tuple[str, str]] = []
+        queue: deque[tuple[str, str]] = deque()
         state = {"synced": True}
 
         def step(row: dict) -> tuple:
             kind, item = row["kind"], row["item"]
             if kind == "pop":
-                return (queue.pop(0)[1] if queue else None, state["synced"])
+                return (queue.popleft()[1] if queue else None, state["synced"])
             if len(queue) < size:
                 queue.append((kind, item))
                 return ("queued", state["synced"])
@@ -294,4 +361,14 @@ def bounded_queue(events: DataFrame, by: Sequence[str], order: Sequence[str], si
 
         return step
 
-    return ordered_fold(events, by, order, make, "result string, synced boolean")
+    return ordered_fold(events, by, order, make, "result string, synced boolean", ["kind", "item"])
+
+
+def read_and_reset(events: DataFrame, by: Sequence[str], order: str, op: str = "op", word: str = "word", bits: str = "bits") -> DataFrame:
+    """What every read of a dirty log gives: by, read (the read's order), word, bits.
+
+    Events mark bits of a word (op: the log's name, of which there may be two) or read (op "read"). A read gives the OR of
+    all logs since the read before, and clears them; marks after the last read are still pending and not in the result."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    marked = events.withColumn("__read", F.min(F.when(F.col(op) == "read", F.col(order))).over(w))
+    return marked.where((F.col(op) != "read") & F.col("__read").isNotNull()).groupBy(*by, F.col("__read").alias("read"), word).agg(F.bit_or(bits).alias(bits))

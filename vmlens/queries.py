@@ -8,31 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, options, text
-from .operators import aggregates, graph, lookups, ranges, rules, sequences, state
+from .operators import aggregates, graph, lookups, ranges, rules, sequences
 from .plans import migration
+from .registry import _QUERIES, _SQL, query, table
 from .sources import telemetry
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 DAY = 86_400
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name and, where SQL can express it, its DuckDB text."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _events(spark, sf_dir, *columns):
     return table(spark, sf_dir, "events").select("event_id", "user_id", *columns)
 
@@ -62,20 +45,27 @@ a AS (SELECT event_type, r, v * 10000 AS s FROM o WHERE r = 1
   UNION ALL SELECT o.event_type, o.r, a.s + CAST(trunc((CAST(o.v AS HUGEINT) * 10000 - a.s) // o.r) AS BIGINT) FROM a JOIN o ON o.event_type = a.event_type AND o.r = a.r + 1)
 SELECT event_type, CAST(s // 10000 AS BIGINT) AS average FROM a WHERE (event_type, r) IN (SELECT event_type, max(r) FROM o GROUP BY event_type)""")
 def cumulative_avg_int(spark, sf_dir):
-    return aggregates.cumulative_average(_events(spark, sf_dir, "event_type", _cents()), ["event_type"], "event_id", "cents")
+    return aggregates.cumulative_average(_events(spark, sf_dir, "event_type", _cents()), ["event_type"], ["event_id"], "cents")
+
+
+def _counters_sql(rows: str) -> str:
+    """Request counters of `rows` (device_id, o, d, b, lat, fine); the average by recursion over the requests in order."""
+    return f"""WITH RECURSIVE q AS ({rows}), f AS (SELECT device_id, d, b, lat, row_number() OVER (PARTITION BY device_id, d ORDER BY o) AS r FROM q WHERE fine AND d IS NOT NULL),
+a AS (SELECT device_id, d, r, CAST(lat * 10000 AS BIGINT) AS s FROM f WHERE r = 1
+  UNION ALL SELECT f.device_id, f.d, f.r, a.s + CAST(trunc((CAST(f.lat AS HUGEINT) * 10000 - a.s) // f.r) AS BIGINT) FROM a JOIN f ON f.device_id = a.device_id AND f.d = a.d AND f.r = a.r + 1),
+m AS (SELECT device_id, d, CAST(arg_max(s, r) // 10000 AS BIGINT) AS mean FROM a GROUP BY 1, 2),
+g AS (SELECT device_id, d, sum(b) AS b, count(*) AS n, min(lat) AS lo, max(lat) AS hi FROM f GROUP BY 1, 2),
+w AS (SELECT x.device_id, y.d, coalesce(b, 0) AS b, coalesce(n, 0) AS n, lo, hi, mean FROM (SELECT DISTINCT device_id FROM q) x CROSS JOIN (VALUES ('read'), ('write')) y(d) LEFT JOIN g USING (device_id, d) LEFT JOIN m USING (device_id, d))
+SELECT device_id, d || '_bytes' AS counter, CAST(b AS BIGINT) AS value FROM w UNION ALL SELECT device_id, d || '_ops', n FROM w UNION ALL SELECT device_id, d || '_latency_min', lo FROM w WHERE n > 0
+UNION ALL SELECT device_id, d || '_latency_max', hi FROM w WHERE n > 0 UNION ALL SELECT device_id, d || '_latency_avg', mean FROM w WHERE n > 0"""
 
 
-@query("""SELECT 'd' || user_id % 7 AS device_id, c.counter, c.value FROM (
-SELECT user_id % 7 AS user_id, unnest([{'counter': 'read_bytes', 'value': sum(CASE WHEN d = 'read' THEN b ELSE 0 END)}, {'counter': 'read_ops', 'value': count(*) FILTER (d = 'read')},
-{'counter': 'read_latency_min', 'value': min(l) FILTER (d = 'read')}, {'counter': 'read_latency_max', 'value': max(l) FILTER (d = 'read')}, {'counter': 'read_latency_avg', 'value': CAST(trunc(avg(l) FILTER (d = 'read')) AS BIGINT)},
-{'counter': 'write_bytes', 'value': sum(CASE WHEN d = 'write' THEN b ELSE 0 END)}, {'counter': 'write_ops', 'value': count(*) FILTER (d = 'write')},
-{'counter': 'write_latency_min', 'value': min(l) FILTER (d = 'write')}, {'counter': 'write_latency_max', 'value': max(l) FILTER (d = 'write')}, {'counter': 'write_latency_avg', 'value': CAST(trunc(avg(l) FILTER (d = 'write')) AS BIGINT)}]) AS c
-FROM (SELECT user_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'error' THEN 'failed' END AS d, CAST(round(value * 100) AS BIGINT) AS b, CAST(event_id % 1000 AS BIGINT) AS l FROM events)
-GROUP BY user_id % 7) WHERE c.value IS NOT NULL""")
+@query(_counters_sql("""SELECT 'd' || user_id % 7 AS device_id, event_id AS o, CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' END AS d, CAST(round(value * 100) AS BIGINT) AS b,
+CAST(event_id % 1000 AS BIGINT) AS lat, event_type <> 'error' AS fine FROM events"""))
 def device_counters(spark, sf_dir):
     d = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "write")
-    rows = _events(spark, sf_dir, "event_type", _cents()).select(F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("device_id"), d.alias("direction"), F.col("cents").alias("bytes"), (F.col("event_id") % 1000).alias("latency_us"), F.when(F.col("event_type") == "error", -1).otherwise(0).alias("result"))
-    return aggregates.request_counters(rows, ["device_id"])
+    rows = _events(spark, sf_dir, "event_type", _cents()).select("event_id", F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("device_id"), d.alias("direction"), F.col("cents").alias("bytes"), (F.col("event_id") % 1000).alias("latency_us"), F.when(F.col("event_type") == "error", -1).otherwise(0).alias("result"))
+    return aggregates.request_counters(rows, ["device_id"], ["event_id"])
 
 
 @query("SELECT o.o_orderpriority AS priority, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice), 6) AS kept_ratio, count(*) AS n FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -140,7 +130,7 @@ c AS (SELECT e.user_id, min(event_id) AS i FROM events e JOIN b ON e.user_id = b
 SELECT u.user_id, c.i IS NOT NULL AS matched, CAST((a.i IS NOT NULL) AS INT) + CAST((b.i IS NOT NULL) AS INT) + CAST((c.i IS NOT NULL) AS INT) AS n_matched
 FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
 def subsequence_match(spark, sf_dir):
-    return sequences.subsequence_match(_events(spark, sf_dir, "event_type"), ["user_id"], "event_id", "event_type", [("signup", None), ("view", None), ("purchase", None)])
+    return sequences.subsequence_match(_events(spark, sf_dir, "event_type"), ["user_id"], ["event_id"], "event_type", [("signup", None), ("view", None), ("purchase", None)])
 
 
 @query("""SELECT user_id, coalesce(list(event_type ORDER BY event_id) = ['view', 'click'], false) AS matched FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 2 GROUP BY 1""")
@@ -286,24 +276,6 @@ def bfs_hierarchy(spark, sf_dir):
     return graph.breadth_first(nodes, edges, 3).select("id", "depth")
 
 
-@query()
-def token_bucket(spark, sf_dir):
-    r = _events(spark, sf_dir, (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.abs(F.round("value")).cast("bigint").alias("tokens"))
-    return state.token_bucket(r, ["user_id"], ["event_id"], "ts_ns", "tokens", 200, 100, 3_600_000)
-
-
-@query()
-def rate_limit(spark, sf_dir):
-    r = _events(spark, sf_dir, (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.abs(F.round("value")).cast("bigint").alias("tokens"), F.when(F.col("event_type") == "error", "ops").otherwise("bytes").alias("kind"))
-    return state.limit(r, ["user_id"], ["event_id"], "ts_ns", "kind", "tokens", {"bytes": (200, 100, 3_600_000), "ops": (50, 0, 60_000)})
-
-
-@query()
-def address_allocation(spark, sf_dir):
-    r = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lit("allocate").alias("op"), F.lit(None).cast("bigint").alias("at"), (16 + F.col("o_orderkey") % 100).alias("length"), F.lit(16).cast("bigint").alias("align"))
-    return state.allocate_addresses(r, ["o_custkey"], ["o_orderkey"], 0x1000, 0x1000)
-
-
 @query("""WITH d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS i, event_type AS m, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS b, count(*) / 10.0 AS t FROM events GROUP BY 1, 2),
 w AS (SELECT *, CASE WHEN t > 0 THEN b / CAST(t AS DOUBLE) ELSE 0 END AS bw FROM d), e AS (SELECT *, lag(bw) OVER (PARTITION BY m ORDER BY i) AS p, sum(b) OVER (PARTITION BY m ORDER BY i) AS tot FROM w)
 SELECT m, i, b, round(bw, 6) AS bandwidth, round(CASE WHEN b = 0 THEN 0 WHEN p > 0 THEN b / p END, 6) AS est_downtime_s, CAST(tot AS BIGINT) AS total_bytes FROM e""")
@@ -476,7 +448,7 @@ def mac_round_trip(spark, sf_dir):
     return shown.withColumn("parts", numbers.parse_mac(F.col("mac")))
 
 
-@query("SELECT o_orderkey, list_filter(range(0, 20), lambda i: (o_orderkey >> i) & 1 = 1) AS bits, ((o_orderkey >> 3) & 1) = 1 AS has_3 FROM orders WHERE o_orderkey < 1048576")
+@query("SELECT o_orderkey, list_filter(range(0, 63), lambda i: (o_orderkey >> i) & 1 = 1) AS bits, ((o_orderkey >> 3) & 1) = 1 AS has_3 FROM orders")
 def feature_bits(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", numbers.bit_positions(F.col("o_orderkey")).alias("bits"), numbers.has_feature(F.col("o_orderkey"), F.lit(3)).alias("has_3"))
@@ -523,22 +495,20 @@ def profile_index(spark, sf_dir):
     return lookups.profile_keys(index, required, table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("k")), "k")
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey // 2 * 2 FROM orders)")
 def missing_keys(spark, sf_dir):
-    return lookups.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    there = table(spark, sf_dir, "orders").select((F.col("o_custkey") - F.col("o_custkey") % 2).alias("k"))
+    return lookups.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), there, "k")
 
 
-@query("""WITH r AS (SELECT l_suppkey % 10 AS device_id, CASE WHEN l_linenumber % 2 = 0 THEN 'read' ELSE 'write' END AS d, CAST(l_quantity AS BIGINT) * 512 AS b, l_partkey % 1000 AS lat, l_orderkey % 17 <> 0 AS fine FROM lineitem),
-g AS (SELECT device_id, d, coalesce(sum(b) FILTER (fine), 0) AS b, count(*) FILTER (fine) AS n, min(lat) FILTER (fine) AS lo, max(lat) FILTER (fine) AS hi, floor(avg(lat) FILTER (fine)) AS mean FROM r GROUP BY 1, 2),
-a AS (SELECT x.device_id, y.d, coalesce(b, 0) AS b, coalesce(n, 0) AS n, lo, hi, mean FROM (SELECT DISTINCT device_id FROM r) x CROSS JOIN (VALUES ('read'), ('write')) y(d) LEFT JOIN g ON g.device_id = x.device_id AND g.d = y.d)
-SELECT device_id, d || '_bytes' AS counter, CAST(b AS BIGINT) AS value FROM a UNION ALL SELECT device_id, d || '_ops', n FROM a UNION ALL SELECT device_id, d || '_latency_min', lo FROM a WHERE n > 0
-UNION ALL SELECT device_id, d || '_latency_max', hi FROM a WHERE n > 0 UNION ALL SELECT device_id, d || '_latency_avg', CAST(mean AS BIGINT) FROM a WHERE n > 0""")
+@query(_counters_sql("""SELECT l_suppkey % 10 AS device_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS o, CASE WHEN l_linenumber % 2 = 0 THEN 'read' ELSE 'write' END AS d, CAST(l_quantity AS BIGINT) * 512 AS b,
+l_partkey % 1000 AS lat, l_orderkey % 17 <> 0 AS fine FROM lineitem"""))
 def block_request_counters(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 10).alias("device_id"), F.when(F.col("l_linenumber") % 2 == 0, "read").otherwise("write").alias("direction"),
+        (F.col("l_suppkey") % 10).alias("device_id"), (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("o"), F.when(F.col("l_linenumber") % 2 == 0, "read").otherwise("write").alias("direction"),
         (F.col("l_quantity").cast("bigint") * 512).alias("bytes"), (F.col("l_partkey") % 1000).alias("latency_us"), F.when(F.col("l_orderkey") % 17 == 0, -1).otherwise(0).alias("result"),
     )
-    return aggregates.request_counters(rows, ["device_id"])
+    return aggregates.request_counters(rows, ["device_id"], ["o", "latency_us"])
 
 
 @query("""WITH f AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS k, o_orderkey AS id, o_orderkey * 37 % 210000 AS addr, o_orderkey * 37 % 210000 // 4096 * 4096 AS page_addr FROM orders)
@@ -675,3 +645,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import device_queries, source_queries, state_queries  # noqa: E402, F401 - they register theirs

@@ -84,10 +84,26 @@ def image_type(data: Column) -> Column:
     return F.when(F.hex(F.substring(data, 1, 4)) == "514649FB", "qcow2").when(F.substring(data, 1, 8) == F.lit(b"vhdxfile"), "vhdx").when(F.substring(data, F.greatest(F.octet_length(data) - 511, F.lit(1)), F.lit(8)) == F.lit(b"conectix"), "vhd").otherwise("raw")
 
 
+#: Fields of the header, (offset, bytes), and those that version 3 added (fixed by the format).
+QCOW2_FIELDS = {"version": (4, 4), "backing_offset": (8, 8), "backing_size": (16, 4), "cluster_bits": (20, 4), "size": (24, 8), "l1_size": (36, 4), "l1_offset": (40, 8), "refcount_offset": (48, 8), "refcount_clusters": (56, 4)}
+QCOW2_V3_FIELDS = {"incompatible": (72, 8), "compatible": (80, 8), "autoclear": (88, 8), "refcount_order": (96, 4), "header_size": (100, 4)}
+
+
 def qcow2_header(data: Column) -> Column:
-    """The big-endian fields that later steps need; null for other files."""
-    fields = {"version": (4, 4), "backing_offset": (8, 8), "backing_size": (16, 4), "cluster_bits": (20, 4), "size": (24, 8), "l1_size": (36, 4), "l1_offset": (40, 8), "refcount_offset": (48, 8), "refcount_clusters": (56, 4)}
-    return F.when(image_type(data) == "qcow2", F.struct(*(_be(data, a, w).alias(k) for k, (a, w) in fields.items())))
+    """The big-endian fields; null for other files. A version 2 file has what version 3 stands for without its fields:
+    no feature bits, refcounts of 16 bits and 72 bytes of header."""
+    fields = [_be(data, a, w).alias(k) for k, (a, w) in QCOW2_FIELDS.items()]
+    old = {"refcount_order": 4, "header_size": 72}
+    new = [F.when(_be(data, 4, 4) >= 3, _be(data, a, w)).otherwise(F.lit(old.get(k, 0))).cast("decimal(20,0)").alias(k) for k, (a, w) in QCOW2_V3_FIELDS.items()]
+    return F.when(image_type(data) == "qcow2", F.struct(*fields, *new))
+
+
+def qcow2_refcounts(df: DataFrame, offset: Column, count: Column, order: int = 4, data: str = "content") -> DataFrame:
+    """pos, refcount of a block of big-endian counters of 2 to the `order` bits (8 at least) in the file."""
+    width = (1 << order) // 8
+    rows = df.withColumn("__o", offset.cast("bigint")).where(count > 0).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)))
+    digits = F.hex(F.substring(F.col(data), (F.col("__o") + F.col("pos") * width + 1).cast("int"), F.lit(width)))
+    return rows.select(*(c for c in df.columns if c != data), "pos", F.conv(digits, 16, 10).cast("decimal(20,0)").alias("refcount"))
 
 
 def qcow2_pointers(df: DataFrame, offset: Column, count: Column, data: str = "content") -> DataFrame:
@@ -97,15 +113,15 @@ def qcow2_pointers(df: DataFrame, offset: Column, count: Column, data: str = "co
     return rows.select(*(c for c in df.columns if c != data), "pos", F.conv(digits, 16, -10).cast("bigint").alias("entry"))
 
 
-def parse_manifest(lines: DataFrame, order: str = "pos", column: str = "value") -> DataFrame:
-    """A flat YAML list of maps ("- key: value", then "  key: value") to rows: item, entry map. One file, in line order."""
+def parse_manifest(lines: DataFrame, by: list[str], order: str = "pos", column: str = "value") -> DataFrame:
+    """A flat YAML list of maps ("- key: value", then "  key: value") to rows: by, item, entry map. by: the file."""
     from pyspark.sql import Window
 
     t = lines.where((F.trim(column) != "") & ~F.trim(column).startswith("#"))
-    item = F.sum(F.when(F.col(column).rlike(r"^\s*-\s"), 1).otherwise(0)).over(Window.orderBy(order))
+    item = F.sum(F.when(F.col(column).rlike(r"^\s*-\s"), 1).otherwise(0)).over(Window.partitionBy(*by).orderBy(order))
     pattern = r"""^\s*(?:-\s+)?([^:]+?)\s*:\s*["']?(.*?)["']?\s*$"""
-    kv = t.select(item.alias("item"), F.struct(F.regexp_extract(column, pattern, 1).alias("k"), F.regexp_extract(column, pattern, 2).alias("v")).alias("kv")).where("kv.k <> '' AND item > 0")
-    return kv.groupBy("item").agg(F.map_from_entries(F.collect_list("kv")).alias("entry"))
+    kv = t.select(*by, item.alias("item"), F.struct(F.regexp_extract(column, pattern, 1).alias("k"), F.regexp_extract(column, pattern, 2).alias("v")).alias("kv")).where("kv.k <> '' AND item > 0")
+    return kv.groupBy(*by, "item").agg(F.map_from_entries(F.collect_list("kv")).alias("entry"))
 
 
 def required_mappings(text: Column) -> Column:

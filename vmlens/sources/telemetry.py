@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def read_events(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     return parse_events(spark.read.text(path, lineSep="\n\n"), "value", strict)
 
 
+def stamped(events: DataFrame, at_ns: str, begin_ns: Column) -> DataFrame:
+    """Events with ts_ns, the time since the monitor's begin."""
+    return events.withColumn("ts_ns", F.col(at_ns) - begin_ns)
+
+
 def event_text(events: DataFrame) -> DataFrame:
     """Events as texts to write with lineSep two newlines: the source's format."""
     secs = F.expr("ts_ns div 1000000000").alias("secs")
@@ -37,24 +44,24 @@ def write_events(events: DataFrame, path: str) -> None:
     event_text(events).write.text(path, lineSep="\n\n")
 
 
-def parse_traces(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Trace reports to spans: thread, event, start_ns, end_ns (null for points), depth, total_ns."""
-    t = texts.select(F.from_json(F.col(column), TRACE).alias("t")).select(duration_ns(F.col("t.duration")).alias("total_ns"), F.explode("t.events").alias("thread", "spans"))
-    spans = t.select("total_ns", "thread", F.explode("spans").alias("s"))
-    return spans.select("thread", "s.event", duration_ns(F.col("s.timestamp")).alias("start_ns"), duration_ns(F.col("s.end_timestamp")).alias("end_ns"), "s.depth", "total_ns")
+def parse_traces(texts: DataFrame, column: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """Trace reports to spans: by (the run), thread, event, start_ns, end_ns (null for points), depth, total_ns."""
+    t = texts.select(*by, F.from_json(F.col(column), TRACE).alias("t")).select(*by, duration_ns(F.col("t.duration")).alias("total_ns"), F.explode("t.events").alias("thread", "spans"))
+    spans = t.select(*by, "total_ns", "thread", F.explode("spans").alias("s"))
+    return spans.select(*by, "thread", "s.event", duration_ns(F.col("s.timestamp")).alias("start_ns"), duration_ns(F.col("s.end_timestamp")).alias("end_ns"), "s.depth", "total_ns")
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return parse_traces(spark.read.text(path, wholetext=True))
 
 
-def trace_report(spans: DataFrame, total_ns: int) -> DataFrame:
-    """One JSON report of all spans of a run, by thread in time order."""
+def trace_report(spans: DataFrame, total_ns: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, value: one JSON report of all spans of a run, by thread in time order."""
     as_duration = lambda c: F.when(c.isNotNull(), F.struct(F.floor(c / 1_000_000_000).cast("bigint").alias("secs"), (c % 1_000_000_000).cast("int").alias("nanos")))
     s = F.struct(as_duration(F.col("start_ns")).alias("timestamp"), "event", as_duration(F.col("end_ns")).alias("end_timestamp"), "depth")
-    threads = spans.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("start_ns", s.alias("s")))).alias("l")).select("thread", F.transform("l", lambda x: x["s"]).alias("l"))
-    report = threads.agg(F.map_from_entries(F.collect_list(F.struct("thread", "l"))).alias("events"))
-    return report.select(F.to_json(F.struct(as_duration(F.lit(total_ns)).alias("duration"), "events")).alias("value"))
+    threads = spans.groupBy(*by, "thread").agg(F.array_sort(F.collect_list(F.struct("start_ns", s.alias("s")))).alias("l")).select(*by, "thread", F.transform("l", lambda x: x["s"]).alias("l"))
+    report = threads.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("thread", "l"))).alias("events"))
+    return report.select(*by, F.to_json(F.struct(as_duration(F.lit(total_ns)).alias("duration"), "events")).alias("value"))
 
 
 def parse_counters(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -100,19 +107,19 @@ def ethr_latencies(lines: DataFrame, column: str = "value") -> DataFrame:
 BOOT_MARK = "Debug I/O port: Kernel code"
 
 
-def boot_seconds(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row: seconds from code 0x40 to code 0x41. There must be just one line of each."""
+def boot_seconds(lines: DataFrame, column: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """by, seconds: a row for each run with boot lines, from code 0x40 to code 0x41. There must be just one line of each."""
     marked = lines.where(F.contains(F.col(column), F.lit(BOOT_MARK)))
     code = F.regexp_extract(F.col(column), r"(0x4[01])", 1)
     at = F.regexp_extract(F.col(column), r"(\d+(?:\.\d+)?)\s+seconds", 1).try_cast("double")
-    t = marked.select(code.alias("code"), at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("code") == "0x40", F.col("at"))).alias("a"), F.max(F.when(F.col("code") == "0x41", F.col("at"))).alias("b"))
+    t = marked.select(*by, code.alias("code"), at.alias("at")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("code") == "0x40", F.col("at"))).alias("a"), F.max(F.when(F.col("code") == "0x41", F.col("at"))).alias("b"))
     fine = (F.col("n") == 2) & F.col("a").isNotNull() & F.col("b").isNotNull()
-    return t.select(F.when(fine, F.col("b") - F.col("a")).otherwise(F.raise_error(F.lit("expected two boot lines")).cast("double")).alias("seconds"))
+    return t.select(*by, F.when(fine, F.col("b") - F.col("a")).otherwise(F.raise_error(F.lit("expected two boot lines")).cast("double")).alias("seconds"))
 
 
-def restore_ms(events: DataFrame) -> DataFrame:
-    """Milliseconds of the first event named restored."""
-    return events.where("event = 'restored'").agg((F.min("ts_ns") / 1_000_000).alias("restore_ms"))
+def restore_ms(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, restore_ms: milliseconds of the first event named restored."""
+    return events.where("event = 'restored'").groupBy(*by).agg((F.min("ts_ns") / 1_000_000).alias("restore_ms"))
 
 
 def metrics_report(results: DataFrame, git: dict[str, str], date: str) -> DataFrame:

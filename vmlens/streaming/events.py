@@ -66,6 +66,7 @@ def limited(stream: DataFrame, key: str, now_ns: str, kind: str, tokens: str, bu
             b = limiter.buckets.get(n)
             flat += [b.budget, b.burst, b.last] if b else [0, 0, 0]
         state.update(tuple(int(x) for x in flat))
-        yield pd.DataFrame({key: [str(group[0])] * len(pdf), order: pdf[order].to_numpy(), "allowed": allowed})
+        own = None if group[0] is None or group[0] != group[0] else str(group[0])
+        yield pd.DataFrame({key: [own] * len(pdf), order: pdf[order].to_numpy(), "allowed": allowed})
 
     return stream.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
