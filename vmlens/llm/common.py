@@ -1,15 +1,15 @@
-"""Helpers shared by the training-data operators: durable intermediate tables, skew-safe joins, connected components."""
+"""Helpers shared by the training-data operators: tables, skew-safe joins, connected components."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable, new_folder, remove_folder, stored  # noqa: F401 - part of these helpers
+
 #: The characters that separate words (fixed by the query contracts): space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,52 +46,6 @@ def process_cache() -> dict:
     return sys.modules[name].__dict__
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which all executors see. Only a session of one machine may do without the setting."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vmlens-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Compute `df` once and keep it in the shared checkpoint folder: lineage is cut and lost executors cost nothing.
-
-    The files are removed as the session says (spark.cleaner.referenceTracking.cleanCheckpoints).
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _file_system(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, removed when the driver ends if it's still there then."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
-    files, path = _file_system(spark, folder)
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return folder
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    files, path = _file_system(spark, folder)
-    files.delete(path, True)
-
-
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """`df` written as Parquet in the shared folder: like durable(), but compressed, and later reads take only their columns."""
-    folder = f"{new_folder(df.sparkSession, name)}/table"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def words_of(text: Column) -> Column:
     """Array of words; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
