@@ -1,6 +1,8 @@
-import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
+
 from tests.conftest import rows
 from vmlens.operators import aggregates as A
 from vmlens.operators import graph as G
@@ -8,6 +10,7 @@ from vmlens.operators import lookups as J
 from vmlens.operators import ranges as R
 from vmlens.operators import rules as V
 from vmlens.operators import sequences as S
+
 L = F.lit
 
 
@@ -127,3 +130,53 @@ def test_last(make):
 
 def test_adj(make):
     same(rows(J.adjust_registers(make([(1, 0, 'eax', 255), (2, 0, 'eax', 1)], 'leaf int,sub_leaf int,register string,value long'), make([(1, 1, 0, 5, 'eax', 15, 256)], 'ord int,leaf int,low int,high int,register string,mask long,replacement long'))), [(1, 0, 'eax', 271), (2, 0, 'eax', 0)])
+
+
+def brute_islands(pairs):
+    out = set()
+    for k in {k for k, _ in pairs}:
+        mine = sorted({p for q, p in pairs if q == k})
+        for p in mine:
+            if p - 1 not in mine:
+                n = 1
+                while p + n in mine:
+                    n += 1
+                out.add((k, p, n))
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 3, 10, 1 << 16])
+def test_islands_across_bins(make, width):
+    """Runs that end at, cross or fill bins; null keys, null and negative positions."""
+    rng = random.Random(width)
+    pairs = [(rng.choice([1, 2, None]), rng.randint(-30, 60)) for _ in range(150)]
+    got = R.islands(make([*pairs, (1, None)], "k int, p long"), ["k"], "p", width)
+    assert {tuple(r) for r in got.collect()} == brute_islands(pairs)
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 1 << 24])
+def test_translation_islands_across_bins(make, width):
+    rng = random.Random(width)
+    rows, want, at = [], [], 0
+    for _ in range(80):
+        size, gap, delta = rng.randint(1, 20), rng.choice([0, 0, 0, 5]), rng.choice([1000, 1000, 1000, 5000])
+        at += gap
+        rows.append((1, at, at + delta, size))
+        if want and want[-1][1] + want[-1][3] == at and want[-1][2] - want[-1][1] == delta:
+            want[-1] = (*want[-1][:3], want[-1][3] + size)
+        else:
+            want.append((1, at, at + delta, size))
+        at += size
+    got = R.translation_islands(make(rows, "d int, iova long, gpa long, size long"), ["d"], width=width)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_asof_chooses_bins(make, monkeypatch):
+    """Bins as for few rows each give what one bin gives."""
+    rng = random.Random(3)
+    asked = make([(i % 2, i, rng.randint(-500, 500)) for i in range(300)], "k int, id int, at long")
+    bases = make([(i % 3, rng.randint(-400, 450), i) for i in range(90)], "k int, base long, v int")
+    one = rows(R.asof(asked, bases, ["k"], "at", "base", ["v"], 1 << 40))
+    monkeypatch.setattr(R, "BIN_ROWS", 10)
+    assert rows(R.asof(asked, bases, ["k"], "at", "base", ["v"])) == one
+    assert R.asof(asked.limit(0), bases.limit(0), ["k"], "at", "base", ["v"]).count() == 0

@@ -1,12 +1,14 @@
 import json
 
 from pyspark.sql import functions as F
+
 from tests.conftest import rows
 from vmlens.operators import state as T
 from vmlens.plans import migration as M
 from vmlens.sources import binary as B
 from vmlens.sources import telemetry as X
 from vmlens.streaming import events as E
+
 L = F.lit
 
 

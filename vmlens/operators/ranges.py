@@ -14,11 +14,34 @@ from pyspark.sql import functions as F
 from ..functions.numbers import bit_positions, int_div
 
 
-def islands(df: DataFrame, by: Sequence[str], position: str) -> DataFrame:
+#: Positions, and bytes of addresses, of a bin in which neighbours are looked for first.
+BIN_POSITIONS, BIN_BYTES = 1 << 16, 1 << 24
+
+
+def _joined(df: DataFrame, by: Sequence[str], start: str, end: str, tag: str, width: int) -> DataFrame:
+    """by, start, end, tag: ranges that don't overlap, joined where one ends where the next begins and both have the same tag.
+
+    A key is cut into bins of `width`. Only the first and last run of a bin can go on in another one, so just these, at
+    most two a bin, go to one window per key."""
+
+    def merged(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(start)
+        goes_on = (F.lag(end).over(w) == F.col(start)) & F.lag(tag).over(w).eqNullSafe(F.col(tag))
+        marked = rows.withColumn("__new", F.when(goes_on, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+        return marked.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.first(tag).alias(tag))
+
+    binned = [*by, "__bin"]
+    runs = merged(df.select(*by, start, end, tag, F.floor(F.col(start) / width).alias("__bin")), binned)
+    edge = (F.col("__run") == 1) | (F.col("__run") == F.max("__run").over(Window.partitionBy(*binned)))
+    runs = runs.withColumn("__edge", edge)
+    columns = [*by, start, end, tag]
+    return runs.where("NOT __edge").select(*columns).unionByName(merged(runs.where("__edge"), by).select(*columns))
+
+
+def islands(df: DataFrame, by: Sequence[str], position: str, width: int = BIN_POSITIONS) -> DataFrame:
     """Runs of consecutive integers: by, first, n. Repeated positions count once."""
-    w = Window.partitionBy(*by).orderBy(position)
-    grouped = df.select(*by, position).distinct().withColumn("__run", F.col(position) - F.row_number().over(w))
-    return grouped.groupBy(*by, "__run").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("n")).drop("__run")
+    ones = df.select(*by, F.col(position).alias("first"), (F.col(position) + 1).alias("__end"), F.lit(0).alias("__tag")).where(F.col(position).isNotNull()).distinct()
+    return _joined(ones, by, "first", "__end", "__tag", width).select(*by, "first", (F.col("__end") - F.col("first")).alias("n"))
 
 
 def bitmap_ranges(df: DataFrame, by: Sequence[str], words: str, start: str, page_size: str) -> DataFrame:
@@ -107,30 +130,40 @@ def overlaps(left: DataFrame, right: DataFrame, by: Sequence[str], start: str, l
     return a.join(b, [*by, "__bin"]).where(hit & first).drop("__bin")
 
 
+#: Rows of a bin, about, where no width is given.
+BIN_ROWS = 100_000
+
+
+def _fair_width(sides: Sequence[DataFrame]) -> int:
+    """The extent of all positions, over as many bins as give each BIN_ROWS."""
+    ends = [x.agg(F.min("x"), F.max("x"), F.count("x")).first() for x in sides]
+    low, high, n = min((r[0] for r in ends if r[2]), default=0), max((r[1] for r in ends if r[2]), default=0), sum(r[2] for r in ends)
+    return max(1, -(-int(high - low + 1) // max(1, n // BIN_ROWS)))
+
+
 def asof(queries: DataFrame, bases: DataFrame, by: Sequence[str], at: str, base: str, payload: Sequence[str], width: int | None = None) -> DataFrame:
     """Every query row with the payload of the greatest base <= at (null if there is none).
 
-    With a width, time or address is cut into bins and a bin's window is seeded with the last base of earlier bins, so the
-    work of one key is spread over its bins. Bases of equal value: the greatest payload wins.
+    Time or address is cut into bins of a width, and a bin's window is seeded with the last base of earlier bins, so the work
+    of one key is spread over its bins. Without a width it's chosen from the extent and number of the bases and queries, so
+    that a bin has about BIN_ROWS of them. Bases of equal value: the greatest payload wins.
     """
+    if width is None:
+        width = _fair_width([queries.select(F.col(at).alias("x")), bases.select(F.col(base).alias("x"))])
     q = queries.select("*", F.col(at).alias("__x"), F.lit(None).cast(bases.schema[base].dataType).alias(base), *(F.lit(None).cast(bases.schema[p].dataType).alias(p) for p in payload), F.lit(1).alias("__q"))
     b = bases.select(*by, F.col(base).alias("__x"), base, *payload, F.lit(0).alias("__q"))
     both = q.unionByName(b, allowMissingColumns=True)
     packed = F.when(F.col("__q") == 0, F.struct(base, *payload))
-    if width is None:
-        w = Window.partitionBy(*by).orderBy("__x", "__q", *payload)
-        found = both.withColumn("__f", F.last(packed, ignorenulls=True).over(w))
-    else:
-        both = both.withColumn("__bin", F.floor(F.col("__x") / width))
-        best = both.where("__q = 0").groupBy(*by, "__bin").agg(F.max(F.struct(base, *payload)).alias("__best"))
-        carry = both.select(*by, "__bin", F.lit(None).cast(best.schema["__best"].dataType).alias("__best")).distinct().unionByName(best).groupBy(*by, "__bin").agg(F.max("__best").alias("__best"))
-        before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        carry = carry.withColumn("__seed", F.last("__best", ignorenulls=True).over(before)).drop("__best")
-        w = Window.partitionBy(*by, "__bin").orderBy("__x", "__q", *payload)
-        # keys may be null, and those are alike
-        keys = [*by, "__bin"]
-        carry = carry.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__seed")
-        found = both.join(carry, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]).withColumn("__f", F.coalesce(F.last(packed, ignorenulls=True).over(w), F.col("__seed")))
+    both = both.withColumn("__bin", F.floor(F.col("__x") / width))
+    best = both.where("__q = 0").groupBy(*by, "__bin").agg(F.max(F.struct(base, *payload)).alias("__best"))
+    carry = both.select(*by, "__bin", F.lit(None).cast(best.schema["__best"].dataType).alias("__best")).distinct().unionByName(best).groupBy(*by, "__bin").agg(F.max("__best").alias("__best"))
+    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.withColumn("__seed", F.last("__best", ignorenulls=True).over(before)).drop("__best")
+    w = Window.partitionBy(*by, "__bin").orderBy("__x", "__q", *payload)
+    # keys may be null, and those are alike
+    keys = [*by, "__bin"]
+    carry = carry.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__seed")
+    found = both.join(carry, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]).withColumn("__f", F.coalesce(F.last(packed, ignorenulls=True).over(w), F.col("__seed")))
     return found.where("__q = 1").select(*queries.columns, F.col(f"__f.{base}").alias(base), *(F.col(f"__f.{p}").alias(p) for p in payload))
 
 
@@ -155,12 +188,10 @@ def complement(regions: DataFrame, holes: DataFrame, by: Sequence[str], start: s
     return gaps.select(*by, lo.alias(start), (hi - lo).alias(length)).where(F.col(start).isNotNull() & (F.col(length) > 0))
 
 
-def translation_islands(mappings: DataFrame, by: Sequence[str], iova: str = "iova", gpa: str = "gpa", size: str = "size") -> DataFrame:
+def translation_islands(mappings: DataFrame, by: Sequence[str], iova: str = "iova", gpa: str = "gpa", size: str = "size", width: int = BIN_BYTES) -> DataFrame:
     """Mappings joined where they're adjacent in both address spaces: a span may cross those, and no others."""
-    w = Window.partitionBy(*by).orderBy(iova)
-    goes_on = (F.lag(F.col(iova) + F.col(size)).over(w) == F.col(iova)) & (F.lag(F.col(gpa) - F.col(iova)).over(w) == F.col(gpa) - F.col(iova))
-    marked = mappings.withColumn("__new", F.when(goes_on, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
-    return marked.groupBy(*by, "__run").agg(F.min(iova).alias(iova), F.min(gpa).alias(gpa), F.sum(size).alias(size)).drop("__run")
+    rows = mappings.select(*by, iova, (F.col(iova) + F.col(size)).alias("__end"), (F.col(gpa) - F.col(iova)).alias("__tag"))
+    return _joined(rows, by, iova, "__end", "__tag", width).select(*by, iova, (F.col(iova) + F.col("__tag")).alias(gpa), (F.col("__end") - F.col(iova)).alias(size))
 
 
 def translate(requests: DataFrame, mappings: DataFrame, by: Sequence[str], addr: str = "addr", size: str = "size", width: int | None = None) -> DataFrame:
