@@ -250,7 +250,7 @@ def test_prior_and_words_without_negatives():
     rng = np.random.default_rng(3)
     bad = lambda: "foul nasty words " + " ".join(f"w{i}" for i in rng.integers(0, 300, 20))
     good = lambda: "kind " * (rng.random() < 0.7) + " ".join(f"w{i}" for i in rng.integers(0, 300, 20))
-    rows = lambda texts: [np.frombuffer(toxicity.features(x), dtype=np.uint64) for x in texts]
+    rows = lambda texts: [np.frombuffer(toxicity.features(x), dtype=np.uint32) for x in texts]
     positive, unlabelled = [bad() for _ in range(400)], [bad() if rng.random() < 0.2 else good() for _ in range(3000)]
     model = toxicity.fit(rows(positive), rows(unlabelled))
     assert 0.15 < model.prior < 0.25
@@ -264,8 +264,8 @@ def test_prior_and_words_without_negatives():
 def test_risk_gradient_against_finite_differences():
     """descend() with the sparse gradient goes where the risk estimate, written out, falls."""
     rng = np.random.default_rng(1)
-    kept = np.arange(6, dtype=np.uint64)
-    sets = lambda n: [np.flatnonzero(rng.random(6) < 0.4).astype(np.uint64) for _ in range(n)]
+    kept = np.arange(6, dtype=np.uint32)
+    sets = lambda n: [np.flatnonzero(rng.random(6) < 0.4).astype(np.uint32) for _ in range(n)]
     p, u = sets(20), sets(50)
     xp, xu = toxicity.Rows(p, kept), toxicity.Rows(u, kept)
     dense = lambda rows: np.array([[k in r for k in kept] + [1] for r in rows], dtype=float)
