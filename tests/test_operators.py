@@ -180,3 +180,35 @@ def test_asof_chooses_bins(make, monkeypatch):
     monkeypatch.setattr(R, "BIN_ROWS", 10)
     assert rows(R.asof(asked, bases, ["k"], "at", "base", ["v"])) == one
     assert R.asof(asked.limit(0), bases.limit(0), ["k"], "at", "base", ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_hot_keys_are_spread(make, inclusive):
+    """Ranges of a hot key give what one window gives: sums, maxima, last values, nulls among keys and values, descending order."""
+    from vmlens.operators.prefix import before_each
+
+    rng = random.Random(9)
+    table = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice([None, *range(-9, 9)]), rng.choice("ab")) for i in range(2000)]
+    df = make(table, "k int, o int, v long, part string").repartition(5)
+    for order in (["o"], [F.col("o").desc()]):
+        values = {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.struct("v")), "n": ("last", F.col("v"))}
+        spread, plain = (R.before_each(df, ["k"], order, values, inclusive, hot) for hot in (True, False))
+        assert spread.columns == plain.columns and rows(spread) == rows(plain)
+    assert before_each(df.limit(0), ["k"], ["o"], {"s": ("sum", F.col("v"))}, hot=True).count() == 0
+
+
+def test_operators_on_hot_keys(make, monkeypatch):
+    from vmlens.operators import prefix
+
+    rng = random.Random(4)
+    table = [(rng.choice([1, 1, 1, 2]), i, rng.randint(1, 9) * 4, rng.choice("ab")) for i in range(300)]
+    df = make(table, "k int, s long, l long, e string")
+    apart = df.where("s % 3 = 0").withColumn("s", F.col("s") * 100)
+    calls = [
+        lambda: R.merge_adjacent(df.withColumn("s", F.col("s") * 4), ["k"], "s", "l"), lambda: R.runs(df, ["k"], ["s"], ["e"], "l"), lambda: R.running_offset(df, ["k"], ["s"], "l"), lambda: R.chunks(df, ["k"], ["s"], "s", "l", 10),
+        lambda: V.disjoint(df, ["k"], "s", "l", 2, 40), lambda: V.transitions(df, ["k"], "s", "e", [("a", "b")]), lambda: S.unsorted(df, ["k"], "s", "l"), lambda: R.complement(make([(1, 0, 50000), (2, 50, 9000)], "k int, s long, l long"), apart.drop("e"), ["k"], "s", "l"),
+        lambda: S.span_depths(df.withColumn("z", F.col("s") + F.col("l")), ["k"], "s", "z", "s"),
+    ]
+    plain = [rows(f()) for f in calls]
+    monkeypatch.setattr(prefix, "HOT_ROWS", 10)
+    assert [rows(f()) for f in calls] == plain and all(plain)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bit_positions, int_div
+from .prefix import before_each, has_hot_key
 
 
 #: Positions, and bytes of addresses, of a bin in which neighbours are looked for first.
@@ -63,9 +64,10 @@ def bitmap_union(left: DataFrame, right: DataFrame, by: Sequence[str], word: str
 
 def merge_adjacent(df: DataFrame, by: Sequence[str], start: str, length: str) -> DataFrame:
     """Ranges in start order, joined where one ends just where the next begins."""
-    w = Window.partitionBy(*by).orderBy(start, length)
-    prev_end = F.lag(F.col(start) + F.col(length)).over(w)
-    marked = df.withColumn("__new", F.when(prev_end == F.col(start), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
+    hot = has_hot_key(df, by)
+    rows = before_each(df.select(*by, start, length), by, [start, length], {"__end": ("last", F.col(start) + F.col(length))}, hot=hot)
+    marked = rows.withColumn("__new", F.when(F.col("__end") == F.col(start), 0).otherwise(1))
+    marked = before_each(marked, by, [start, length], {"__run": ("sum", F.col("__new"))}, inclusive=True, hot=hot)
     return marked.groupBy(*by, "__run").agg(F.min(start).alias(start), F.sum(length).alias(length)).drop("__run")
 
 
@@ -78,20 +80,20 @@ def clamp_start(df: DataFrame, start: str, length: str, low: int) -> DataFrame:
 
 def runs(df: DataFrame, by: Sequence[str], order: Sequence[str], keys: Sequence[str], length: str | None = None) -> DataFrame:
     """Run-length groups of equal neighbouring keys: by, run (from 1), keys, n and, given a length column, its sum."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    same = F.lit(True)
+    hot = has_hot_key(df, by)
+    own = F.struct(*(F.col(k) for k in keys))
+    rows = before_each(df, by, list(order), {"__before": ("last", own)}, hot=hot)
+    same = F.col("__before").isNotNull()
     for k in keys:
-        same = same & F.lag(k).over(w).eqNullSafe(F.col(k))
-    changed = F.when((F.row_number().over(w) > 1) & same, 0).otherwise(1)
-    marked = df.withColumn("__changed", changed).withColumn("run", F.sum("__changed").over(w))
+        same = same & F.col("__before")[k].eqNullSafe(F.col(k))
+    marked = before_each(rows.withColumn("__changed", F.when(same, 0).otherwise(1)), by, list(order), {"run": ("sum", F.col("__changed"))}, inclusive=True, hot=hot)
     aggs = [F.count(F.lit(1)).alias("n"), *([F.sum(length).alias(length)] if length else [])]
     return marked.groupBy(*by, "run", *keys).agg(*aggs)
 
 
 def running_offset(df: DataFrame, by: Sequence[str], order: Sequence[str], size: str, name: str = "offset") -> DataFrame:
     """Sum of the sizes before each row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return before_each(df, by, list(order), {name: ("sum", F.col(size))}).withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], gpa: str, length: str, size: int) -> DataFrame:
@@ -101,8 +103,8 @@ def chunks(df: DataFrame, by: Sequence[str], order: Sequence[str], gpa: str, len
     """
     if size <= 0:
         return df.select(*by, F.lit(0).cast("bigint").alias("chunk"), F.col(gpa).alias("gpa"), F.col(length).alias("length")).limit(0)
-    w = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
-    line = df.where(F.col(length) > 0).withColumn("__a", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint")).withColumn("__b", F.col("__a") + F.col(length))
+    line = before_each(df.where(F.col(length) > 0), by, [F.col(c).desc() for c in order], {"__a": ("sum", F.col(length))})
+    line = line.withColumn("__a", F.coalesce("__a", F.lit(0)).cast("bigint")).withColumn("__b", F.col("__a") + F.col(length))
     cut = line.withColumn("chunk", F.explode(F.sequence(int_div(F.col("__a"), F.lit(size)), int_div(F.col("__b") - 1, F.lit(size)))))
     lo, hi = F.greatest("__a", F.col("chunk") * size), F.least("__b", (F.col("chunk") + 1) * size)
     return cut.select(*by, "chunk", (F.col(gpa) + F.col(length) - (hi - F.col("__a"))).alias("gpa"), (hi - lo).alias("length"))
@@ -182,8 +184,7 @@ def complement(regions: DataFrame, holes: DataFrame, by: Sequence[str], start: s
     r = regions.select(*by, F.col(start).alias("__rs"), (F.col(start) + F.col(length)).alias("__re"))
     # a mark before and after the holes
     marks = h.unionByName(r.select(*by, F.col("__rs").alias("__s"), F.col("__rs").alias("__e"))).unionByName(r.select(*by, F.col("__re").alias("__s"), F.col("__re").alias("__e")))
-    w = Window.partitionBy(*by).orderBy("__s", "__e")
-    gaps = marks.withColumn("__from", F.max("__e").over(w.rowsBetween(Window.unboundedPreceding, -1))).join(r, list(by))
+    gaps = before_each(marks, by, ["__s", "__e"], {"__from": ("max", F.col("__e"))}).join(r, list(by))
     lo, hi = F.greatest("__from", "__rs"), F.least("__s", "__re")
     return gaps.select(*by, lo.alias(start), (hi - lo).alias(length)).where(F.col(start).isNotNull() & (F.col(length) > 0))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_aligned, is_power_of_two
+from .prefix import before_each
 from .ranges import asof, overlaps
 
 Rule = Callable[..., DataFrame]
@@ -93,9 +94,8 @@ def exclusive_membership(df: DataFrame, owner: str, members: str, name: str = "e
 @rule
 def disjoint(df: DataFrame, by: Sequence[str], start: str, length: str, granule: int = 1, most: int | None = None, name: str = "disjoint") -> DataFrame:
     """Ranges that overlap one before them in their key, aren't aligned, or are beyond the most a key may have."""
-    w = Window.partitionBy(*by).orderBy(start, length)
-    reach = F.max(F.col(start) + F.col(length)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumns({"__o": reach > F.col(start), "__a": ~(is_aligned(F.col(start), F.lit(granule)) & is_aligned(F.col(length), F.lit(granule))), "__c": F.row_number().over(w) > (most or 1 << 62)})
+    rows = before_each(df, by, [start, length], {"__reach": ("max", F.col(start) + F.col(length)), "__n": ("sum", F.lit(1))})
+    marked = rows.withColumns({"__o": F.col("__reach") > F.col(start), "__a": ~(is_aligned(F.col(start), F.lit(granule)) & is_aligned(F.col(length), F.lit(granule))), "__c": F.coalesce("__n", F.lit(0)) >= (most or 1 << 62)})
     what = F.concat_ws(",", F.when(F.col("__o"), "overlap"), F.when(F.col("__a"), "unaligned"), F.when(F.col("__c"), "too many"))
     return _found(marked.where(what != ""), name, F.concat_ws("/", *(F.col(c).cast("string") for c in (*by, start))), what)
 
@@ -150,9 +150,7 @@ def restore_ranges(ranges: DataFrame, regions: DataFrame, order: str, page: int,
     """Saved ranges (vm, gpa, length) that aren't aligned, don't lie in one plain region, or whose place in the file isn't aligned.
 
     A machine's regions don't overlap, so the one that begins last before a range is the only one that can hold it."""
-    w = Window.partitionBy("vm").orderBy(order)
-    at = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = ranges.withColumn("__at", at)
+    r = before_each(ranges, ["vm"], [order], {"__at": ("sum", F.col("length"))}).withColumn("__at", F.coalesce("__at", F.lit(0)))
     homes = regions.where("plain").select("vm", F.col("gpa").alias("__g"), F.col("length").alias("__l"))
     inside = F.col("gpa") + F.col("length") <= F.col("__g") + F.col("__l")
     held = asof(r, homes, ["vm"], "gpa", "__g", ["__l"]).withColumn("__in", F.coalesce(inside, F.lit(False)))
@@ -178,8 +176,7 @@ MIGRATION_TRANSITIONS = [("Begin", "VmPaused"), ("VmPaused", "Completed")]
 @rule
 def transitions(df: DataFrame, by: Sequence[str], order: str, state: str, legal: Sequence[tuple[str, str]] = VM_TRANSITIONS, name: str = "transitions") -> DataFrame:
     """Steps from one state to the next that aren't among the legal ones."""
-    w = Window.partitionBy(*by).orderBy(order)
-    steps = df.withColumn("__from", F.lag(state).over(w)).where("__from IS NOT NULL")
+    steps = before_each(df, by, [order], {"__before": ("last", F.struct(F.col(state).alias("s")))}).withColumn("__from", F.col("__before.s")).where("__from IS NOT NULL")
     allowed = reduce(lambda a, b: a | b, ((F.col("__from") == x) & (F.col(state) == y) for x, y in legal), F.lit(False))
     return _found(steps.where(~allowed), name, F.concat_ws("/", *(F.col(c).cast("string") for c in (*by, order))), F.concat_ws("->", "__from", state))
 

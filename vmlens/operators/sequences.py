@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import before_each
 from .state import ordered_reduce
 
 
@@ -19,8 +20,8 @@ def span_depths(spans: DataFrame, by: Sequence[str], start: str, end: str, ident
     longest = F.when(F.col("m.d") == 1, -F.col(end).cast("double")).otherwise(-F.col(start).cast("double"))
     # a span that ends where another starts doesn't enclose it; one without length ends after its own start
     rank = F.when(F.col("m.d") == -1, F.when(F.col(start) == F.col(end), 2).otherwise(0)).otherwise(1)
-    w = Window.partitionBy(*by).orderBy(F.col("m.t"), rank, longest, F.col("m.d") * F.col(ident))
-    swept = marks.withColumn("depth", F.sum("m.d").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    order = [F.col("m.t"), rank, longest, F.col("m.d") * F.col(ident)]
+    swept = before_each(marks, by, order, {"depth": ("sum", F.col("m.d"))}, inclusive=True).withColumn("depth", F.col("depth") - 1)
     return swept.where("m.d = 1").drop("m")
 
 
@@ -56,16 +57,20 @@ def subsequence_match(df: DataFrame, by: Sequence[str], order: Sequence[str], ev
     return out.select(*by, (F.col("n_matched") == len(wanted)).alias("matched"), "n_matched")
 
 
+def _with_previous(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
+    """`df` with `previous`, the value of the row before."""
+    rows = before_each(df, by, [order], {"__before": ("last", F.struct(F.col(value).alias("v")))})
+    return rows.withColumn("previous", F.col("__before.v")).drop("__before")
+
+
 def unsorted(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
     """Rows whose value is below the one before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("previous", F.lag(value).over(w)).where(F.col("previous") > F.col(value))
+    return _with_previous(df, by, order, value).where(F.col("previous") > F.col(value))
 
 
 def not_increasing(snapshots: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Snapshots of counters that aren't above the one before."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return snapshots.withColumn("previous", F.lag(value).over(w)).where(F.col("previous") >= F.col(value))
+    return _with_previous(snapshots, keys, order, value).where(F.col("previous") >= F.col(value))
 
 
 def first_to_second(df: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
