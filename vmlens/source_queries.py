@@ -229,7 +229,7 @@ def fleet_totals(spark, sf_dir):
     return clients.groupBy("o_custkey").agg(F.round(aggregates.stream_total("rate"), 4).alias("total"), aggregates.plugged_size("o_orderkey", "device").alias("plugged"), aggregates.active_count("active").alias("active"))
 
 
-@query("SELECT s_nationkey AS device_id, list(k || '=' || v ORDER BY k) AS counters FROM (SELECT s_nationkey, 'c' || s_suppkey AS k, s_suppkey * 3 AS v FROM supplier WHERE s_suppkey % 4 > 0) GROUP BY 1")
+@query("SELECT s_nationkey AS device_id, list_sort(list(k || '=' || v)) AS counters FROM (SELECT s_nationkey, 'c' || s_suppkey AS k, s_suppkey * 3 AS v FROM supplier WHERE s_suppkey % 4 > 0) GROUP BY 1")
 def device_counter_maps(spark, sf_dir):
     s = F.col("s_suppkey")
     long = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("device_id"), F.concat(F.lit("c"), _text(s)).alias("counter"), F.when(s % 4 > 0, s * 3).alias("value"))
