@@ -53,7 +53,7 @@ def fio_outputs(spark, sf_dir):
     return shown.select("o_orderkey", value("write", "io_bytes").alias("write_bytes"), value("both", "io_bytes").alias("both_bytes"), value("read", "total_ios").alias("read_ios"), value("both", "total_ios").alias("both_ios"))
 
 
-@query("SELECT round(o_custkey * CASE o_orderkey % 3 WHEN 1 THEN 1.0 ELSE 1000.0 END, 3) AS avg_us FROM orders WHERE o_orderkey % 3 > 0")
+@query("SELECT CAST(o_custkey * CASE o_orderkey % 3 WHEN 1 THEN 1 ELSE 1000 END AS DOUBLE) AS avg_us FROM orders WHERE o_orderkey % 3 > 0")
 def ethr_outputs(spark, sf_dir):
     o = F.col("o_orderkey")
     shown = F.concat(_text("o_custkey"), F.when(o % 3 == 1, "us").otherwise("ms"))
@@ -69,7 +69,7 @@ def boot_times(spark, sf_dir):
     return telemetry.boot_seconds(lines, by=["run"]).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("SELECT user_id, min(event_id * 1000 + 0.5) AS restore_ms FROM events WHERE event_type = 'click' GROUP BY user_id")
+@query("SELECT user_id, CAST(min(event_id * 1000 + 0.5) AS DOUBLE) AS restore_ms FROM events WHERE event_type = 'click' GROUP BY user_id")
 def restore_times(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "click", "restored").otherwise(F.col("event_type")).alias("event"), (F.col("event_id") * SECOND + 500_000).alias("ts_ns"))
     return telemetry.restore_ms(events, ["user_id"])
@@ -177,7 +177,7 @@ def required_mappings(spark, sf_dir):
     return m.select("p_partkey", F.col("m.gpa").alias("gpa"), F.col("m.vm_addr").alias("hva"), F.col("m.size").alias("size"))
 
 
-@query("""SELECT p_partkey, (4294967295 - list_sum(list_transform(string_split(s[:64] || s[69:], ''), lambda c: ord(c)))) AS sum
+@query("""SELECT p_partkey, CAST(4294967295 - list_sum(list_transform(string_split(s[:64] || s[69:], ''), lambda c: ord(c))) AS BIGINT) AS sum
 FROM (SELECT p_partkey, repeat(p_name || '/', 8) AS s FROM part)""")
 def byte_checksums(spark, sf_dir):
     data = F.repeat(F.concat(F.col("p_name"), F.lit("/")), 8).cast("binary")
@@ -222,7 +222,7 @@ def level2_entries(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.l2_entry(entry).alias("e")).select("o_orderkey", "e.*")
 
 
-@query("""SELECT o_custkey, sum(CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice ELSE 0 END) AS total, CAST(sum(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey ELSE 0 END) AS BIGINT) AS plugged, count(*) FILTER (o_orderkey % 2 = 0) AS active FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, round(sum(CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice ELSE 0 END), 4) AS total, CAST(sum(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey ELSE 0 END) AS BIGINT) AS plugged, count(*) FILTER (o_orderkey % 2 = 0) AS active FROM orders GROUP BY 1""")
 def fleet_totals(spark, sf_dir):
     o = F.col("o_orderkey")
     clients = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(o % 5 > 0, F.col("o_totalprice")).alias("rate"), F.when(o % 3 > 0, "device").alias("device"), F.when(o % 4 != 1, o % 2 == 0).alias("active"))
@@ -257,12 +257,19 @@ def migration_lines(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
 
 
-@query("""SELECT user_id, adjuster, round(avg(value) * CASE adjuster WHEN 's_to_us' THEN 1000000 WHEN 'bps_to_gbps' THEN 1 / 1e9 WHEN 'bytes_to_mib' THEN 1 / 1048576 ELSE 1 END, 9) AS mean
-FROM (SELECT *, ['identity', 's_to_us', 'bps_to_gbps', 'bytes_to_mib'][1 + user_id % 4] AS adjuster FROM events) GROUP BY 1, 2""")
+#: Adjuster -> its factor in SQL, and decimals that both engines' sums agree in.
+_ADJUSTED = {"identity": ("1", 6), "s_to_us": ("1000000", 1), "bps_to_gbps": ("1 / 1e9", 15), "bytes_to_mib": ("1 / 1048576", 10)}
+
+
+@query(f"""SELECT user_id, adjuster, CASE adjuster {" ".join(f"WHEN '{k}' THEN round(avg(value) * {f}, {d})" for k, (f, d) in _ADJUSTED.items())} END AS mean
+FROM (SELECT *, {list(_ADJUSTED)}[1 + user_id % 4] AS adjuster FROM events) GROUP BY 1, 2""")
 def adjusted_means(spark, sf_dir):
-    kinds = F.array(*map(F.lit, ("identity", "s_to_us", "bps_to_gbps", "bytes_to_mib")))
+    kinds = F.array(*map(F.lit, _ADJUSTED))
     means = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("m")).withColumn("adjuster", F.element_at(kinds, (1 + F.col("user_id") % 4).cast("int")))
-    return means.select("user_id", "adjuster", F.round(numbers.adjust(F.col("m"), F.col("adjuster")), 9).alias("mean"))
+    value, mean = numbers.adjust(F.col("m"), F.col("adjuster")), F.lit(None).cast("double")
+    for name, (_, decimals) in _ADJUSTED.items():
+        mean = F.when(F.col("adjuster") == name, F.round(value, decimals)).otherwise(mean)
+    return means.select("user_id", "adjuster", mean.alias("mean"))
 
 
 @query("SELECT user_id, max(value) FILTER (event_id % 3 > 0) AS most, min(value) FILTER (event_id % 3 > 0) AS least FROM events GROUP BY 1")
