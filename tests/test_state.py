@@ -117,7 +117,7 @@ def test_long_keys_are_streamed(spark):
 
 @pytest.mark.parametrize("width", [None, 10])
 def test_asof_keeps_rows_without_a_key(make, width):
-    asked = make([(None, 1, 5), (1, 2, 25), (2, 3, 5)], "k int, id int, at long")
+    asked = make([(None, 1, 5), (1, 2, 25), (2, 3, 5), (1, 4, None), (1, 5, 1)], "k int, id int, at long")
     bases = make([(1, 3), (1, 30), (None, 4)], "k int, base long")
     got = {(r.id, r.base) for r in ranges.asof(asked, bases, ["k"], "at", "base", [], width).collect()}
-    assert got == {(1, 4), (2, 3), (3, None)}
+    assert got == {(1, 4), (2, 3), (3, None), (4, None), (5, None)}

@@ -148,24 +148,21 @@ def asof(queries: DataFrame, bases: DataFrame, by: Sequence[str], at: str, base:
 
     Time or address is cut into bins of a width, and a bin's window is seeded with the last base of earlier bins, so the work
     of one key is spread over its bins. Without a width it's chosen from the extent and number of the bases and queries, so
-    that a bin has about BIN_ROWS of them. Bases of equal value: the greatest payload wins.
+    that a bin has about BIN_ROWS of them. Bases of equal value: the greatest payload wins. Null keys are alike; a null position
+    has no base.
     """
     if width is None:
         width = _fair_width([queries.select(F.col(at).alias("x")), bases.select(F.col(base).alias("x"))])
     q = queries.select("*", F.col(at).alias("__x"), F.lit(None).cast(bases.schema[base].dataType).alias(base), *(F.lit(None).cast(bases.schema[p].dataType).alias(p) for p in payload), F.lit(1).alias("__q"))
     b = bases.select(*by, F.col(base).alias("__x"), base, *payload, F.lit(0).alias("__q"))
-    both = q.unionByName(b, allowMissingColumns=True)
-    packed = F.when(F.col("__q") == 0, F.struct(base, *payload))
-    both = both.withColumn("__bin", F.floor(F.col("__x") / width))
-    best = both.where("__q = 0").groupBy(*by, "__bin").agg(F.max(F.struct(base, *payload)).alias("__best"))
-    carry = both.select(*by, "__bin", F.lit(None).cast(best.schema["__best"].dataType).alias("__best")).distinct().unionByName(best).groupBy(*by, "__bin").agg(F.max("__best").alias("__best"))
+    both = q.unionByName(b, allowMissingColumns=True).withColumn("__bin", F.floor(F.col("__x") / width))
+    both = both.withColumn("__f", F.when(F.col("__q") == 0, F.struct(base, *payload)))
+    # every bin begins with the last base of the bins before it, as one more row
+    last = both.groupBy(*by, "__bin").agg(F.max("__f").alias("__f"))
     before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.withColumn("__seed", F.last("__best", ignorenulls=True).over(before)).drop("__best")
-    w = Window.partitionBy(*by, "__bin").orderBy("__x", "__q", *payload)
-    # keys may be null, and those are alike
-    keys = [*by, "__bin"]
-    carry = carry.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__seed")
-    found = both.join(carry, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]).withColumn("__f", F.coalesce(F.last(packed, ignorenulls=True).over(w), F.col("__seed")))
+    seeds = last.withColumn("__f", F.last("__f", ignorenulls=True).over(before)).where("__f IS NOT NULL").withColumn("__q", F.lit(-1))
+    w = Window.partitionBy(*by, "__bin").orderBy(F.col("__q") >= 0, "__x", "__q", *payload)
+    found = both.unionByName(seeds, allowMissingColumns=True).withColumn("__f", F.last("__f", ignorenulls=True).over(w))
     return found.where("__q = 1").select(*queries.columns, F.col(f"__f.{base}").alias(base), *(F.col(f"__f.{p}").alias(p) for p in payload))
 
 
