@@ -33,7 +33,9 @@ LONGEST = 20
 SMOOTHING = 1.0
 #: Rounds of expectation maximisation after the one in which all other pages are allowed.
 ROUNDS = 4
-#: Words up to which their odds are sent to every task (they have LONGEST letters at most, or are one unknown string).
+#: Bits of the map of hashes of what the parts hold: 64 to a row, so 262,144 rows at most are broadcast.
+BITMAP_BITS = 1 << 24
+#: Bytes up to which words' odds are sent to every task (they have LONGEST letters at most, or are one unknown string).
 BROADCAST_BYTES = 4 << 20
 
 
@@ -62,10 +64,29 @@ def url_parts(host: Column, path: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.concat_ws("/", names, path)), r"[^\p{L}]+"), lambda x: x != "")
 
 
-def word_costs(pages: DataFrame, html_column: str, known: Sequence[str]) -> DataFrame:
-    """(word, n, known): how often words stand in the pages' texts; known ones are there even if they don't."""
+def spans_of(parts: DataFrame, *columns: str) -> DataFrame:
+    """columns, a, l, word: every substring of the parts from a on with l letters, 2 to LONGEST."""
+    starts = F.explode(F.sequence(F.lit(1), F.length("part"))).alias("a")
+    ahead = F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("rest")))).alias("l")
+    spans = parts.select(*columns, "part", starts).select(*columns, "a", F.col("part").substr(F.col("a"), F.lit(LONGEST)).alias("rest")).where(F.length("rest") > 1)
+    return spans.select(*columns, "a", "rest", ahead).select(*columns, "a", "l", F.substring("rest", F.lit(1), F.col("l")).alias("word"))
+
+
+def word_costs(pages: DataFrame, html_column: str, known: Sequence[str], parts: DataFrame | None = None) -> DataFrame:
+    """(word, n, known): how often words stand in the pages' texts; known ones are there even if they don't.
+
+    Given the parts, words that no part holds are counted together, as the word "". A bitmap of the hashes of all their
+    substrings, of a fixed size, finds most of these before anything is shuffled; words it takes for others are counted as
+    themselves, which changes no cost."""
     text = F.regexp_replace(F.coalesce(F.col(html_column), F.lit("")), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(ascii_lower(text), F.lit(r"\p{L}{2,%d}" % LONGEST), 0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = pages.select(F.explode(F.regexp_extract_all(ascii_lower(text), F.lit(r"\p{L}{2,%d}" % LONGEST), 0)).alias("word"))
+    if parts is not None:
+        mark = F.pmod(F.xxhash64("word"), F.lit(BITMAP_BITS))
+        bits = spans_of(parts).select(mark.alias("m")).groupBy(F.shiftright("m", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(m % 64 AS INT))")).alias("bits"))
+        marked = words.withColumn("m", mark).withColumn("w", F.shiftright("m", 6)).join(F.broadcast(durable(bits)), "w", "left")
+        there = F.coalesce(F.getbit("bits", (F.col("m") % 64).cast("int")) == 1, F.lit(False))
+        words = marked.select(F.when(there, F.col("word")).otherwise("").alias("word"))
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     extra = pages.sparkSession.createDataFrame([(w, 0, True) for w in sorted(set(known))], "word string, n long, known boolean")
     return words.withColumn("known", F.lit(False)).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
 
@@ -99,12 +120,8 @@ def segment(parts: DataFrame, costs: DataFrame) -> DataFrame:
     total = costs.agg(F.sum("n")).first()[0] or 1
     cost = -F.log(F.col("n") / float(total) + F.when(F.col("known"), KNOWN_SHARE).otherwise(0.0))
     parts = durable(parts.withColumn("id", F.monotonically_increasing_id()))
-    starts = F.explode(F.sequence(F.lit(1), F.length("part"))).alias("a")
-    ahead = F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("rest")))).alias("l")
-    spans = parts.select("id", "part", starts).select("id", "a", F.col("part").substr(F.col("a"), F.lit(LONGEST)).alias("rest")).where(F.length("rest") > 1)
-    spans = spans.select("id", "a", "rest", ahead).select("id", "a", "l", F.substring("rest", F.lit(1), F.col("l")).alias("word"))
     hits = F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") + F.col("l") - 1).alias("b"), cost.alias("c")))
-    found = skew_join(spans, costs, ["word"]).groupBy("id").agg(hits.alias("spans"))
+    found = skew_join(spans_of(parts, "id"), costs, ["word"]).groupBy("id").agg(hits.alias("spans"))
 
     @F.pandas_udf("array<string>")
     def best(names: pd.Series, spans: pd.Series) -> pd.Series:
@@ -156,7 +173,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, seeds
     bags = rows.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).where("bag <> ''").withColumnRenamed("bag", "text")
     bags = durable(bags.withColumn("bag", F.monotonically_increasing_id()))
     split_bags = bags.select("bag", "n", F.explode(F.split("text", " ")).alias("part"))
-    words = durable(segment(split_bags.select("part").distinct(), durable(word_costs(pages, html_column, [*known, *seeds]))))
+    parts = durable(split_bags.select("part").distinct())
+    words = durable(segment(parts, durable(word_costs(pages, html_column, [*known, *seeds], parts))))
     tokens = skew_join(split_bags, words, ["part"]).select("bag", "n", F.explode("words").alias("word")).groupBy("bag", "n", "word").agg(F.count(F.lit(1)).alias("k"))
     scores = skew_join(bags.select("bag", "text"), learn(durable(tokens), seeds, rounds).select("bag", "log_odds"), ["bag"]).select(F.col("text").alias("bag"), "log_odds")
     out = skew_join(rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)), scores, ["bag"], "left")
