@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation.
 
-A huge document is cut into overlapping chunks. Every chunk is encoded whole by the library, with offsets. Two neighbours
+A huge document (more than CHUNK_CHARS) is cut into overlapping chunks. Every chunk is encoded whole by the library, with offsets. Two neighbours
 are spliced at a position of their overlap where a token starts in both and which is proven to be a token boundary of the
 whole text: tokens before it come from the left chunk, tokens from it on from the right one. Where there is none, the
 overlap is widened, and when it has reached the last splice, the left chunk is made longer, up to the rest of the text.
@@ -15,6 +15,9 @@ Proofs of a boundary, for byte-level vocabularies:
 
 For sentencepiece models whose pieces hold no space but in front (checked on the vocabulary and by trials), a space between
 two ASCII letters or digits is a boundary. Texts for other libraries' pipelines are encoded whole.
+
+Documents that fit a chunk are counted whole. For byte-level vocabularies, those of common characters are split into pieces
+as the library's pattern does (borders.py), and each distinct piece is encoded once by the library.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .borders import MARK
+from .borders import COMMON, MARK, PIECE, PieceCache
 from .common import process_cache, slices
 
 CHUNK_CHARS = 16384
@@ -66,9 +69,15 @@ class ByteLevel:
         added = model.get_added_tokens_decoder().values()
         self.special = [x.content for x in added]
         self.reach = max([0, *map(len, self.special)])
+        self.cache = PieceCache(lambda piece: len(model.encode(piece, add_special_tokens=False)))
 
     def lengths(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [sum(map(self.cache.__getitem__, PIECE.findall(x))) if self._common(x) else -1 for x in texts]
+        rest = iter(self.model.encode_batch_fast([x for x, n in zip(texts, out) if n < 0], add_special_tokens=False))
+        return [len(next(rest)) if n < 0 else n for n in out]
+
+    def _common(self, text: str) -> bool:
+        return bool(COMMON.fullmatch(text)) and not any(x in text for x in self.special)
 
     def encode(self, text: str, low: int, high: int) -> Encoded:
         got = self.model.encode(text[low:high], add_special_tokens=False)
