@@ -14,6 +14,7 @@ Decoding concatenates the bytes of the tokens, up the same tree. Ids are held as
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,9 @@ class TreeCodec:
         import tiktoken
 
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # takes any text for one piece
+        self.whole = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
         self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, i in ranks.items():
             self.table[i] = piece
@@ -66,7 +70,40 @@ class TreeCodec:
         return self._leaf(self.table[left] + self.table[right]) == [left, right]
 
     def _leaf(self, piece: bytes) -> list[int]:
-        return self.library._encode_single_piece(piece)
+        """Ids of a piece: by the library if the bytes are a text; parts cut within a character are merged here."""
+        try:
+            return self.whole.encode_ordinary(piece.decode())
+        except UnicodeDecodeError:
+            return self.merged(piece)
+
+    def merged(self, piece: bytes) -> list[int]:
+        """The pair of the lowest rank, the leftmost of equals, is joined until none has a rank."""
+        n, rank = len(piece), self.ranks.get
+        end, before = [*range(1, n + 1)], [*range(-1, n)]
+        queue = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapq.heapify(queue)
+
+        def offer(i: int, stop: int) -> None:
+            if (r := rank(piece[i:stop])) is not None:
+                heapq.heappush(queue, (r, i, stop))
+
+        while queue:
+            _, i, stop = heapq.heappop(queue)
+            j = end[i]
+            # a token that was joined to one before it ends nowhere
+            if not j or j >= n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            before[stop] = i
+            if i:
+                offer(before[i], stop)
+            if stop < n:
+                offer(i, end[stop])
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
+        return ids
 
     def _join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         width = 8
