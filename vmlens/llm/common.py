@@ -19,16 +19,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of texts that are worked on at a time, where results are about as large as texts. (Arrow batches are bounded in
 #: bytes by the session, spark.sql.execution.arrow.maxBytesPerBatch.)
 BATCH_ROWS = 400
-#: Bytes up to which a table in fewer pieces than there are cores is dealt out to all of them.
+#: Bytes up to which a table in fewer files than there are cores is dealt out to all of them.
 SMALL_TABLE = 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A whole table. Small ones, which may be a single row group, are dealt to all cores: a shuffle of at most SMALL_TABLE bytes."""
+    """A whole table. A small one in few files, each maybe a single row group, is dealt to all cores: a shuffle of at most SMALL_TABLE bytes."""
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores) if size <= SMALL_TABLE and table.rdd.getNumPartitions() <= cores else table
+    return table.repartition(cores) if size <= SMALL_TABLE and len(table.inputFiles()) < cores else table
 
 
 def slices(batches, rows: int = BATCH_ROWS):
