@@ -86,6 +86,34 @@ def test_odd_results(odd):
     assert swapped == {1}
 
 
+def test_odd_values(odd, labels):
+    """What each operator gives for null, empty, blank, very long and repeated texts."""
+    scores = toxicity.score_documents(odd, labels).collect()
+    base = {r.score for r in scores if r.doc_id in (2, 3, 4)}
+    assert len(base) == 1 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in scores)
+    assert len({r.score for r in scores if r.doc_id == 1}) == 1
+    mixed = mixing.mix(odd).collect()
+    assert {r.taken for r in mixed if r.doc_id in (2, 3, 4)} == {0} and all(r.taken <= 2 * r.size for r in mixed)
+    book = {(r.doc_id, r.n_words, r.word_chars, r.n_repeat_words, r.failures) for r in quality_rules.ledger(odd).collect() if r.doc_id in (2, 3, 4, 5, 6)}
+    assert book == {(2, 0, 0, 0, 1), (3, 0, 0, 0, 1), (4, 0, 0, 0, 1), (5, 30001, 120003, 30000, 2), (5, 6, 25, 0, 1), (6, 1, 50000, 0, 9)}
+    counted = {(r.doc_id, r.n_bytes): r.n_tokens for r in token_count.count_tokens(odd, JSON).collect()}
+    assert counted[2, 0] == counted[3, 0] == 0 and counted[4, 4] > 0 and counted[6, 50000] == token_count.Counter(JSON).library.lengths(["x" * 50000])[0]
+    good = quality_model.score_documents(odd, labels).collect()
+    assert len({r.evidence for r in good if r.doc_id in (2, 3)}) == 1 and all(0 <= r.score <= 1 and 0 < r.host_rate < 1 for r in good)
+    assert {r.kept for r in quality_model.score_documents(odd, labels.limit(0)).collect()} == {True}
+    coded = {r.doc_id: (len(r.ids), bytes(r.decoded)) for r in bpe_tree.encode_documents(odd, RANKS, public_tokenizers.PATTERN).collect() if r.doc_id in (2, 3, 4, 6)}
+    assert coded[2] == coded[3] == (0, b"") and coded[4][1] == b" \n\t " and coded[6][1] == b"x" * 50000
+
+
+def test_embeddings_beside_columns_of_the_operator_s_names(make):
+    rows = [(1, [1.0, 0.0], 5), (2, [1.0, 0.01], 5), (3, [0.0, 1.0], 5), (None, [1.0, 0.0], 5)]
+    df = make(rows, "vec_id long, embedding array<double>, n int")
+    for c in ("v", "ok", "cid", "bin", "r", "root", "links", "least", "found"):
+        df = df.withColumn(c, F.lit("x"))
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(df).collect()}
+    assert got == {(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 2, 1, False)}
+
+
 def test_tree_encodes_and_decodes_as_the_library():
     whole = bpe_tree.TreeCodec.load(RANKS, public_tokenizers.PATTERN)
     small = bpe_tree.TreeCodec.load(RANKS, public_tokenizers.PATTERN, leaf_chars=16, leaf_bytes=8, direct_chars=20)
@@ -100,6 +128,18 @@ def test_tree_encodes_and_decodes_as_the_library():
     assert len(whole.encode("abcde" * 20000)) == len(whole.library.encode_ordinary("abcde" * 2000)) * 10
 
 
+def test_merging_of_bytes_is_the_library_s():
+    """Texts, which the library can encode as well, and parts of them that begin and end within characters."""
+    codec, rng = bpe_tree.TreeCodec.load(RANKS, public_tokenizers.PATTERN), random.Random(2)
+    for _ in range(400):
+        x = "".join(rng.choice("abethin g日本é😀'") for _ in range(rng.randint(1, 60))).encode()
+        assert codec.merged(x) == codec.whole.encode_ordinary(x.decode())
+        part = x[rng.randint(0, 3) : len(x) - rng.randint(0, 2)]
+        assert codec.decode(np.array(codec.merged(part), dtype=np.int32)) == part
+        ids = codec.merged(part)
+        assert all(codec.merged(codec.table[a] + codec.table[b]) == [a, b] for a, b in itertools.pairwise(ids))
+
+
 def test_spliced_counts_are_the_library_s():
     import tokenizers
 
@@ -126,16 +166,17 @@ def test_chunks_bound_what_is_encoded(letters, monkeypatch):
     counter, lengths = token_count.Counter(JSON, chunk=1000, overlap=64), []
     encode = counter.library.encode
     monkeypatch.setattr(counter.library, "encode", lambda text, low, high: lengths.append(high - low) or encode(text, low, high))
-    assert counter.count(letters * 5000) == counter.library.lengths([letters * 5000])[0]
+    assert counter.count(letters * 5000) == len(counter.library.model.encode(letters * 5000, add_special_tokens=False).ids)
     assert len(lengths) > 10 and max(lengths) <= 1064
 
 
 def test_misalignment_widens_the_overlap():
     """White space alone has no boundary to prove: the chunk grows until it's whole. So it is beside words."""
     counter = token_count.Counter(JSON, chunk=32, overlap=4)
-    assert counter.count(" " * 500) == counter.library.lengths([" " * 500])[0] and counter.widened > 3
+    library = lambda x: len(counter.library.model.encode(x, add_special_tokens=False).ids)
+    assert counter.count(" " * 500) == library(" " * 500) and counter.widened > 3
     text = "word" + "\t" * 100 + "next words of the text " * 10
-    assert counter.count(text) == counter.library.lengths([text])[0]
+    assert counter.count(text) == library(text)
 
 
 def test_sentencepiece_counts():
@@ -568,6 +609,19 @@ def test_the_model_decides_not_the_seeds(make):
     assert got == {(urls[0], "block"), (urls[30], "block"), (urls[40], "allow"), (urls[-1], "allow")}
 
 
+@pytest.mark.parametrize("bits", [1 << 24, 64, 1])
+def test_words_no_part_holds_cost_nothing_else(make, monkeypatch, bits):
+    """However full the map is: the parts' words have their own counts, and the total is that of all words."""
+    monkeypatch.setattr(url_filter, "BITMAP_BITS", bits)
+    pages = make([(i, None, f"<a>casino win free</a> w{chr(97 + i % 26)}rd other straße nie") for i in range(100)] + [(200, None, None)], "page_id long, url string, html string")
+    parts = make([("casinowin",), ("straßenie",), ("x",)], "part string")
+    every = {r.word: (r.n, r.known) for r in url_filter.word_costs(pages, "html", ["casino", "bet"]).collect()}
+    some = {r.word: (r.n, r.known) for r in url_filter.word_costs(pages, "html", ["casino", "bet"], parts).collect()}
+    assert {w: some[w] for w in ("casino", "win", "straße", "nie", "bet")} == {w: every[w] for w in ("casino", "win", "straße", "nie", "bet")}
+    assert sum(n for n, _ in some.values()) == sum(n for n, _ in every.values()) and set(some) - {""} <= set(every)
+    assert ("" in some) == (bits > 1)
+
+
 def test_long_urls_are_segmented_whole(make):
     part = "casinowin" * 3000
     pages = make([(1, f"http://a.test/{part}", "casino win"), (2, f"http://a.test/{'q' * 30000}", None)], "page_id long, url string, html string")

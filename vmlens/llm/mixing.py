@@ -15,8 +15,8 @@ from .common import WORD, durable, skew_join
 
 #: Bits of the hash, and of each histogram but the last.
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 2
-#: Sources up to which the table of sources is broadcast; beyond, it's joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Bytes up to which the table of sources is broadcast; beyond, it's joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 
 
 def document_hash(doc_id: Column, text: Column) -> Column:
@@ -73,7 +73,7 @@ def plan(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2
     targets = source_targets(sizes, weights, share, cap)
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).cast("long")
     targets = durable(targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    few = targets.count() <= BROADCAST_SOURCES
+    few = (targets.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     slim, shift = sizes.select("key", "size", "h"), HASH_BITS
     state = targets.select("key", "budget", F.lit(0.0).alias("used"), F.lit(0).cast("long").alias("prefix"))
     by_key = Window.partitionBy("key")
