@@ -143,3 +143,48 @@ def test_permutation_is_no_sorting(spark):
 
     got = [r.id for r in permutation(spark.range(100), "id").collect()]
     assert got == [r.id for r in permutation(spark.range(100), "id").collect()] and sorted(got) == list(range(100)) != got
+
+
+def test_splitting_against_a_walk(spark):
+    """Random texts of commas, quotes, brackets and others, character by character."""
+    import random
+
+    def split(text):
+        depth, quoted, parts = 0, False, [""]
+        for c in text.strip(" "):
+            if c == '"':
+                quoted = not quoted
+            elif not quoted and c in "[]":
+                depth += 1 if c == "[" else -1
+                if depth < 0:
+                    return None
+            elif not quoted and not depth and c == ",":
+                parts.append("")
+                continue
+            parts[-1] += c
+        return None if quoted or depth else parts
+
+    def dequoted(text):
+        quoted, before, out = False, "", ""
+        for c in text:
+            if c != '"':
+                out += c
+            else:
+                out += '"' if before == '"' and not quoted else ""
+                quoted = not quoted
+            before = c
+        return out
+
+    def paired(text):
+        quoted, ats = False, []
+        for i, c in enumerate(text.strip(" ")):
+            quoted = quoted != (c == '"')
+            ats += [i] if c == "@" and not quoted else []
+        return (text.strip(" ")[: ats[0]], text.strip(" ")[ats[0] + 1 :]) if len(ats) == 1 and ats[0] else None
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice('ab,,"[] \\\n@é') for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", O.split_commas(F.col("t")).alias("s"), O.dequote(F.col("t")).alias("d"), O.pair(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert (r.s, r.d, tuple(r.p) if r.p else None) == (split(r.t), dequoted(r.t), paired(r.t)), r.t

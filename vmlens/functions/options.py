@@ -11,8 +11,9 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def _tokens(text: Column, special: str) -> Column:
+    """The text in pieces: each special character by itself, and the runs between them."""
+    return F.regexp_extract_all(text, F.lit(f"[^{special}]+|[{special}]"), F.lit(0))
 
 
 def split_commas(text: Column) -> Column:
@@ -35,7 +36,9 @@ def split_commas(text: Column) -> Column:
             F.when(cut, F.concat(s["parts"], F.array(F.lit("")))).otherwise(grown).alias("parts"),
         )
 
-    return F.aggregate(_chars(F.trim(text)), start, step, lambda s: F.when(~s["bad"] & ~s["quoted"] & (s["depth"] == 0), s["parts"]))
+    t = F.trim(text)
+    nested = F.aggregate(_tokens(t, r"\",\[\]"), start, step, lambda s: F.when(~s["bad"] & ~s["quoted"] & (s["depth"] == 0), s["parts"]))
+    return F.when(t.rlike(r'["\[\]]'), nested).otherwise(F.split(t, ","))
 
 
 def dequote(text: Column) -> Column:
@@ -47,7 +50,7 @@ def dequote(text: Column) -> Column:
         added = F.when(~quote, c).when((s["prev"] == '"') & ~s["quoted"], '"').otherwise("")
         return F.struct(c.alias("prev"), (s["quoted"] != quote).alias("quoted"), F.concat(s["out"], added).alias("out"))
 
-    return F.aggregate(_chars(text), start, step, lambda s: s["out"])
+    return F.when(F.contains(text, F.lit('"')), F.aggregate(_tokens(text, '"'), start, step, lambda s: s["out"])).otherwise(text)
 
 
 def parse_options(text: Column, keys: list[str], flags: list[str] = (), subset: bool = False) -> Column:
@@ -132,9 +135,9 @@ def pair(text: Column) -> Column:
 
     def step(s: Column, c: Column) -> Column:
         at = (c == "@") & ~s["quoted"]
-        return F.struct((s["quoted"] != (c == '"')).alias("quoted"), (s["ats"] + at.cast("int")).alias("ats"), F.when(at, s["i"]).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"))
+        return F.struct((s["quoted"] != (c == '"')).alias("quoted"), (s["ats"] + at.cast("int")).alias("ats"), F.when(at, s["i"]).otherwise(s["at"]).alias("at"), (s["i"] + F.length(c)).alias("i"))
 
-    found = F.aggregate(_chars(t), start, step, lambda s: F.when((s["ats"] == 1) & (s["at"] > 0), s["at"]))
+    found = F.aggregate(_tokens(t, '"@'), start, step, lambda s: F.when((s["ats"] == 1) & (s["at"] > 0), s["at"]))
     return _let(found, lambda at: F.when(at.isNotNull(), F.struct(F.substring(t, F.lit(1), at).alias("key"), t.substr(at + 2, F.length(t)).alias("value"))))
 
 
