@@ -571,6 +571,41 @@ def test_sizes_change_no_segmentation(make, times):
     assert {(r.page_id < 5, r.verdict) for r in url_filter.judge(pages).collect()} == {(True, "block"), (False, "allow")}
 
 
+def test_operators_leave_settings_alone(spark, odd, labels):
+    """Entry points bound Arrow batches where the session doesn't say; operators change nothing."""
+    from vmlens.llm import common
+
+    given = spark.conf.get(common.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        before = dict(spark.conf.getAll)
+        for operator in OPERATORS.values():
+            operator(odd, labels).count()
+        embedding_dedup.link_embeddings(odd.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), "score").alias("embedding"))).count()
+        assert dict(spark.conf.getAll) == before
+        queries.queries()["op5_token_counts"](spark, SF)
+        assert spark.conf.get(common.BATCH_SETTING) == str(common.BATCH_BYTES)
+        spark.conf.set(common.BATCH_SETTING, "1m")
+        queries.queries()["op5_token_counts"](spark, SF)
+        assert spark.conf.get(common.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.set(common.BATCH_SETTING, given) if given else spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    """Without the setting only a session of one machine makes a folder of its own."""
+    from types import SimpleNamespace
+
+    from vmlens import storage
+
+    context = lambda master: SimpleNamespace(getCheckpointDir=lambda: None, master=master, setCheckpointDir=lambda x: None)
+    session = lambda master: SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda k, d: d))
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]", "k8s://a"):
+        with pytest.raises(RuntimeError):
+            storage.shared_folder(session(master))
+    storage.shared_folder(session("local[4]"))
+
+
 def test_skew_join(make):
     a, b = make([(1, "x"), (None, "y")], "k long, a string"), make([(1, "z")], "k long, b string")
     assert [tuple(r) for r in skew_join(a, b, ["k"]).collect()] == [(1, "x", "z")]

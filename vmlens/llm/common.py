@@ -16,8 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of texts that are worked on at a time, where results are about as large as texts. (Arrow batches are bounded in
-#: bytes by the session, spark.sql.execution.arrow.maxBytesPerBatch.)
+#: Bytes of an Arrow batch: Python workers hold a batch several times over.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Rows of texts that are worked on at a time, where results are about as large as texts.
 BATCH_ROWS = 400
 #: Bytes up to which a table in fewer files than there are cores is dealt out to all of them.
 SMALL_TABLE = 64 << 20
@@ -31,6 +32,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table.repartition(cores) if size <= SMALL_TABLE and len(table.inputFiles()) < cores else table
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """For the entry points, queries and stages: a session that doesn't say how large Arrow batches are gets BATCH_BYTES.
+
+    It's always the same value, so frames that are built one after the other don't get in each other's way. Operators leave
+    settings alone."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def slices(batches, rows: int = BATCH_ROWS):
     """pandas batches cut into pieces of at most so many rows: what is made from a piece of texts is handed on before the next."""
     for pdf in batches:

@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, embedding_dedup, mixing, pii, quality_model, quality_rules, simhash, token_count, toxicity, url_filter
-from .common import read_table
+from . import bpe_tree, common, embedding_dedup, mixing, pii, quality_model, quality_rules, simhash, token_count, toxicity, url_filter
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bounded_batches(spark)
+    return common.read_table(spark, sf_dir, name)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
