@@ -11,22 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vmlens.llm import bpe_tree, mixing, pii, simhash, toxicity
-from vmlens.llm.common import new_folder, read_table, remove_folder
+from vmlens.llm.common import bounded_batches, new_folder, read_table, remove_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the cut. Null and empty texts score as the model's base rate; null ids are kept alike."""
+    bounded_batches(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score_column(F.col("text"), model) < toxicity.CUT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component the document with the smallest id stays; of rows that repeat an id or have none, one as well. Blank and null texts are one component."""
+    bounded_batches(spark)
     return simhash.keep_one(docs).select(*docs.columns)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates under the session's key; n_chars follows. Null texts stay null; other columns aren't read."""
+    bounded_batches(spark)
     out = pii.replace_texts(docs, pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -38,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and their number: none for null and empty texts."""
+    bounded_batches(spark)
     coded = bpe_tree.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
